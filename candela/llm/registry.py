@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, substrings
 
 QUERIES = {
+    "op7_substring_dedup": substrings.op7_substring_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 SQL = {
+    "op7_substring_dedup": substrings.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
 }
