@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substrings
+from . import decontaminate, packing, substrings
 
 QUERIES = {
+    "op10_packing": packing.op10_packing,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
