@@ -33,7 +33,7 @@ LOWER = KEEP.copy()
 LOWER[65:91] += 32
 
 #: Bytes of text that are handled at once, so that a worker's memory does not follow the batch size.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 
 class Words:
@@ -183,7 +183,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/candela/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

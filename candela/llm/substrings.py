@@ -109,8 +109,8 @@ def _level_2(window: int, text: str):
             starts = starts[_inside(words.at, n, 2 * short)[starts]]
             hs = t.windows(words.hashes(), 2 * short)[starts]
             rows = np.searchsorted(words.at, starts, "right") - 1
-            keys = batch.column(batch.schema.get_field_index("_key")).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([_signed(hs), pa.array(keys[rows]), pa.array((starts - words.at[rows]).astype(np.int32))], ["h", "_key", "pos"])
+            keys, weight = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_key", "weight"))
+            yield pa.RecordBatch.from_arrays([_signed(hs), pa.array(keys[rows]), pa.array((starts - words.at[rows]).astype(np.int32)), pa.array(weight[rows])], ["h", "_key", "pos", "weight"])
 
     return run
 
@@ -146,34 +146,67 @@ def _level_3(window: int, text: str):
                 candidate[s[ok]] = True
             starts = np.flatnonzero(candidate)
             rows = np.searchsorted(words.at, starts, "right") - 1
-            keys = batch.column(batch.schema.get_field_index("_key")).to_numpy(zero_copy_only=False)
+            keys, weight = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_key", "weight"))
             full = t.windows(h, window)[starts]
             more = t.windows(words.hashes(1), window)[starts].astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([_signed(full), pa.array(more), pa.array(keys[rows]), pa.array((starts - words.at[rows]).astype(np.int32))], ["h", "g", "_key", "pos"])
+            yield pa.RecordBatch.from_arrays([_signed(full), pa.array(more), pa.array(keys[rows]), pa.array((starts - words.at[rows]).astype(np.int32)), pa.array(weight[rows])], ["h", "g", "_key", "pos", "weight"])
 
     return run
 
 
 def _repeated(rows: DataFrame, by: list[str], name: str) -> DataFrame:
     """The places of each row whose hashes occur twice or more, as one list per key."""
-    twice = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    twice = rows.groupBy(*by).agg(F.sum("weight").alias("_n")).where("_n > 1").drop("_n")
     return rows.join(twice, by, "left_semi").groupBy("_key").agg(F.collect_set("pos").alias(name))
 
 
-def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Rows of which anything is removed: `_key` (a hash of id and text), the id, `n_removed`, `spans`
-    (word begin, end pairs that are removed, flat) and `kept` (the other words joined by one space)."""
+def _whole(batches):
+    """Words and digest of each whole text."""
+    import hashlib
+
+    for batch in t.sliced(batches, "_text"):
+        n, digest = [], []
+        for raw in batch.column(batch.schema.get_field_index("_text")).to_pylist():
+            words = raw.encode().split()
+            n.append(len(words))
+            digest.append(hashlib.sha256(b" ".join(words)).digest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], ["_key", "_id", "n_words", "_all"])
+
+
+def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("_id", "_text"))
+
+
+def rows_of(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """`_key` (a hash of id and text), `_id`, `n_words` and `_all` (SHA-256 of the words joined by one space) of each row."""
+    kind = docs.schema[id].dataType.simpleString()
+    return t.stored(t.map_arrow(_keyed(docs, id, text).select("_key", "_id", "_text"), _whole, f"_key long, _id {kind}, n_words long, _all binary"), "rows")
+
+
+def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, rows: DataFrame | None = None) -> DataFrame:
+    """Rows of which anything is removed, once for each id and text: `_key`, the id, `n_removed`, `spans`
+    (word begin, end pairs that are removed, flat) and `kept` (the other words joined by one space).
+
+    Of rows with equal words only the one of least key goes through the levels, with a weight of two;
+    the others are removed whole if they have a window. rows: of rows_of, where already at hand.
+    """
     short = _level(window)
     if window < 3 or 2 * short > window:
         raise ValueError("a window has 3 words at least")
-    keyed = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("_id", "_text"))
+    rows = rows_of(docs, id, text) if rows is None else rows
+    long = rows.where(F.col("n_words") >= window)
+    twins = long.groupBy("_all").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_first")).where("_n > 1")
+    twins = t.stored(long.join(twins, "_all").select("_key", "_id", "n_words", (F.col("_key") != F.col("_first")).alias("_copy")).distinct(), "twins")
+
+    keyed = _keyed(docs, id, text)
     places = "h long, _key long, pos int"
     ones = t.stored(t.map_arrow(keyed.select("_key", "_text"), _level_1(window, "_text"), places), "windows1")
-    anchors = _repeated(ones, ["h"], "anchors")
+    anchors = _repeated(ones.withColumn("weight", F.lit(1)), ["h"], "anchors")
+    anchors = anchors.join(twins.select("_key", "_copy").distinct(), "_key", "left").where("_copy is null or not _copy").select("_key", "anchors", F.when(F.col("_copy").isNull(), 1).otherwise(2).alias("weight"))
     held = t.stored(keyed.join(anchors, "_key"), "candidates")
-    twos = t.stored(t.map_arrow(held.select("_key", "_text", "anchors"), _level_2(window, "_text"), places), "windows2")
+    twos = t.stored(t.map_arrow(held.select("_key", "_text", "anchors", "weight"), _level_2(window, "_text"), places + ", weight int"), "windows2")
     doubled = _repeated(twos, ["h"], "doubled")
-    full = t.map_arrow(held.join(doubled, "_key").select("_key", "_text", "anchors", "doubled"), _level_3(window, "_text"), "h long, g int, _key long, pos int")
+    full = t.map_arrow(held.join(doubled, "_key").select("_key", "_text", "anchors", "weight", "doubled"), _level_3(window, "_text"), "h long, g int, _key long, pos int, weight int")
     starts = _repeated(t.stored(full, "windows3"), ["h", "g"], "starts")
 
     def cut(batches):
@@ -194,9 +227,11 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
             same = [batch.column(batch.schema.get_field_index(c)) for c in ("_key", "_id")]
             yield pa.RecordBatch.from_arrays([*same, pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(kept, pa.string())], ["_key", "_id", "n_removed", "spans", "kept"])
 
-    out = held.select("_key", "_id", "_text").join(starts, "_key")
+    out = held.select("_key", "_id", "_text").dropDuplicates(["_key", "_id"]).join(starts, "_key")
     kind = docs.schema[id].dataType.simpleString()
-    return t.map_arrow(out, cut, f"_key long, _id {kind}, n_removed long, spans array<int>, kept string").withColumnRenamed("_id", id)
+    some = t.map_arrow(out, cut, f"_key long, _id {kind}, n_removed long, spans array<int>, kept string")
+    whole = twins.where("_copy").select("_key", "_id", F.col("n_words").alias("n_removed"), F.array(F.lit(0), F.col("n_words").cast("int")).alias("spans"), F.lit("").alias("kept"))
+    return some.unionByName(whole).withColumnRenamed("_id", id)
 
 
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -207,27 +242,13 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", window:
     return joined.select(*[F.coalesce(F.col("_kept"), keyed[c]).alias(c) if c == text else keyed[c] for c in docs.columns])
 
 
-def _whole(batches):
-    """Words and digest of each whole text, for rows of which nothing is removed."""
-    import hashlib
-
-    for batch in t.sliced(batches, "_text"):
-        n, digest = [], []
-        for raw in batch.column(batch.schema.get_field_index("_text")).to_pylist():
-            words = raw.encode().split()
-            n.append(len(words))
-            digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.string())], ["_key", "doc_id", "n_words", "_all"])
-
-
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that repeated 35-word windows cover, and a digest of the rest, for each document."""
     docs = t.table(spark, sf_dir, "documents")
-    texts = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_key"), "doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    every = t.map_arrow(texts, _whole, "_key long, doc_id long, n_words long, _all string")
-    cut = repeats(docs).select("_key", F.col("doc_id").alias("_id"), "n_removed", F.sha2("kept", 256).alias("_cut")).groupBy("_key", "_id").agg(F.first("n_removed").alias("_gone"), F.first("_cut").alias("_cut"))
-    joined = every.join(cut, (every["_key"] == cut["_key"]) & every["doc_id"].eqNullSafe(cut["_id"]), "left")
-    return joined.select("doc_id", "n_words", F.coalesce("_gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_cut", "_all").alias("kept_sha256"))
+    every = rows_of(docs)
+    cut = repeats(docs, rows=every).select("_key", F.col("doc_id").alias("_other"), "n_removed", F.sha2("kept", 256).alias("_cut"))
+    joined = every.join(cut.withColumnRenamed("_key", "_k"), F.expr("_key = _k and _id <=> _other"), "left")
+    return joined.select(F.col("_id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("_cut", F.lower(F.hex("_all"))).alias("kept_sha256"))
 
 
 OP7_SQL = r"""
