@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, substrings
+from . import decontaminate, near_duplicates, packing, substrings
 
 QUERIES = {
+    "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op10_packing": packing.op10_packing,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
 }
 SQL = {
+    "op6_near_duplicates": near_duplicates.OP6_SQL,
     "op7_substring_dedup": substrings.OP7_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
 }
