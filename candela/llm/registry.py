@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_duplicates, packing, substrings
+from . import decontaminate, near_duplicates, packing, substrings, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op10_packing": packing.op10_packing,
     "op7_substring_dedup": substrings.op7_substring_dedup,
