@@ -46,13 +46,17 @@ class Words:
 
     __slots__ = ("at", "codes", "data", "end", "row_at", "start", "vocab")
 
-    def __init__(self, texts: pa.Array, flags: np.ndarray, lower: np.ndarray | None):
+    def __init__(self, texts: pa.Array, flags: np.ndarray, lower: np.ndarray | None, cut: np.ndarray | None = None):
+        """cut: a class for each byte; a word also ends between bytes of the classes 1 and 2."""
         offsets, data = buffers(texts)
         self.data, self.row_at = data, offsets
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = flags[data]
         firsts = np.zeros(len(data) + 1, bool)
         firsts[offsets] = True
+        if cut is not None and len(data) > 1:
+            kinds = cut[data]
+            firsts[1:-1] |= (kinds[:-1] + kinds[1:] == 3) & (kinds[:-1] > 0) & (kinds[1:] > 0)
         here, before = inside[1:], inside[:-1]
         start = np.flatnonzero(here & (firsts | ~before))
         end = np.flatnonzero(before & (firsts | ~here))

@@ -19,15 +19,18 @@ more than a few for each class), whatever the input. Sequences are numbered by a
 
 The tokenizer's file is a parameter and must be found on the executors. Words are tokenised apart
 and remembered, which is exact for a tokenizer that drops white space before it splits, as the one
-named by default does; `by_word=False` tokenises whole texts for others.
+named by default does (see Coder); `by_word=False` tokenises whole texts for others.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,12 +38,19 @@ from pyspark.sql import functions as F
 from . import _text as t
 
 SIZE, GRAIN, END = 2048, 8, 1
-#: Words that a worker remembers, in two generations of this many.
-REMEMBERED = 250_000
+#: Words that a worker remembers.
+REMEMBERED = 600_000
+#: Ids never reach over a change between these two classes: ASCII letters and digits, and ASCII
+#: punctuation but the apostrophe (which may begin a contraction).
+JOINTS = np.zeros(256, np.uint8)
+JOINTS[33:127] = 2
+JOINTS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+JOINTS[39] = 0
 
 
 class Coder:
-    """Ids of slices of texts."""
+    """Ids of slices of texts. By word, it holds for a tokenizer that lower-cases, drops white space
+    and splits between letters or digits and punctuation before it looks at its vocabulary."""
 
     def __init__(self, path: str, by_word: bool):
         import os
@@ -50,20 +60,23 @@ class Coder:
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _known(self, words: list[bytes]) -> list[bytes]:
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        out = [young.get(w) or old.get(w) for w in words]
+        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
+        at = (np.cumsum([0, *map(len, ids)]) * self.kind().itemsize).tolist()
+        return [flat[a:b] for a, b in zip(at, at[1:])]
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        out = list(map(self.known.get, words))
         new = [k for k, x in enumerate(out) if x is None]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
         for a in range(0, len(new), 20_000):
             some = new[a : a + 20_000]
-            for k, e in zip(some, self.tokenizer.encode_batch_fast([words[k].decode() for k in some], add_special_tokens=False)):
-                out[k] = np.array(e.ids, self.kind).tobytes()
-        young.update(zip(words, out))
+            for k, x in zip(some, self._encode([words[k].decode() for k in some])):
+                out[k] = self.known[words[k]] = x
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +84,9 @@ class Coder:
         if not self.by_word:
             found = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
             return np.concatenate([np.zeros(0, self.kind), *found]), np.cumsum([0, *map(len, found)])
-        words = t.Words(texts, t.SPACED, None)
-        known = self._known(words.vocab.to_pylist())
+        special = pa.compute.any(pa.compute.match_substring(texts, "<|")).as_py()  # these may be ids of their own, and only as they are written
+        words = t.Words(texts, t.SPACED, None) if special else t.Words(texts, t.SPACED, t.LOWER, JOINTS)
+        known = self._ids(words.vocab.to_pylist())
         flat = np.frombuffer(b"".join(known), self.kind)
         size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind().itemsize
         first = np.cumsum(size) - size
@@ -84,6 +98,12 @@ class Coder:
         return flat[index], at[words.at]
 
 
+@lru_cache(maxsize=1)
+def coder(path: str, by_word: bool) -> Coder:
+    """A worker keeps its words from task to task."""
+    return Coder(path, by_word)
+
+
 def pieces(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", size: int = SIZE, grain: int = GRAIN, end: int = END, by_word: bool = True, with_ids: bool = False) -> DataFrame:
     """One row per piece: the id, start, length, ids_crc32, doc_tokens, its class and its place
     (writing task, place of that class within the task); with_ids adds the ids themselves."""
@@ -92,9 +112,9 @@ def pieces(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", s
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, class int, task long, place long" + ", ids array<int>" * with_ids
 
     def run(batches):
-        coder, task, counts = Coder(path, by_word), TaskContext.get().partitionId(), np.zeros(size // grain + 2, np.int64)
+        encode, task, counts = coder(path, by_word), TaskContext.get().partitionId(), np.zeros(size // grain + 2, np.int64)
         for batch in t.sliced(batches, "_text", 4 << 20):
-            ids, at = coder(batch.column(1))
+            ids, at = encode(batch.column(1))
             lengths = np.diff(at) + 1
             number = -(-lengths // size)
             rows = np.repeat(np.arange(batch.num_rows), number)
