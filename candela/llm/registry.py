@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_duplicates, packing, substrings, toxicity
+from . import brown, decontaminate, near_duplicates, packing, pii, substrings, toxicity
 
 QUERIES = {
+    "op4_brown": brown.op4_brown,
+    "op5_pii": pii.op5_pii,
     "op3_toxicity": toxicity.op3_toxicity,
     "op6_near_duplicates": near_duplicates.op6_near_duplicates,
     "op10_packing": packing.op10_packing,
