@@ -14,8 +14,8 @@ two empty sketches have resemblance 1 (the texts' words are equal), one empty on
 `with_next`, rows are ordered by id, nulls first, then text; repeated ids are rows of their own; a
 single row's next is itself. Other columns are not read.
 
-Scale: a sketch is at most k numbers. `with_next` deals rows to ranges of ids cut at approximate
-quantiles, and gives each range the first rows of the one after it, so neighbours meet in one task
+Scale: a sketch is at most k numbers. `with_next` deals rows to ranges of ids cut at keys
+of a sample, and gives each range the first rows of the one after it, so neighbours meet in one task
 without a global sort; the text is shuffled once.
 """
 
@@ -25,16 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as t
+from ._order import dealt, let
 
 K, SHINGLE = 256, 5
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def let(value: Column, f) -> Column:
-    """f(value), with value computed once a row."""
-    return F.transform(F.array(value), f)[0]
-
-
 def hashes(text: Column, shingle: int = SHINGLE) -> Column:
     """The hash of each shingle of a text, in order; an empty array for none."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -104,33 +100,11 @@ def as_text(a: Column) -> Column:
 def with_next(df: DataFrame, id: str, text: str, derive: dict[str, Column] | None = None, ranges: int | None = None) -> DataFrame:
     """(id, text, next_text) with the text of the row after it by id, after the last the first. derive:
     more columns, each also with `next_`, from the columns `_id` and `_text`, computed once a row."""
-    spark = df.sparkSession
     rows = df.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a number per range and two more come to the driver
-    cuts = rows.agg(F.percentile_approx("_id", [k / ranges for k in range(ranges)], 100 * ranges), F.count(F.when(F.col("_id").isNull(), 1)), F.min("_id")).first()
-    firsts = sorted(set(cuts[0] or []) | ({cuts[2]} if cuts[2] is not None else set()))
-    kind = f"array<{df.schema[id].dataType.simpleString()}>"
-    step = max(1, int(len(firsts) ** 0.5))
-    starts, coarse = (F.array(*map(F.lit, x)).cast(kind) for x in (firsts, firsts[::step]))
-    last = max(len(firsts) - 1, 0)
-    below = lambda x: x <= F.col("_id")
-    group = F.greatest(F.lit(0), F.size(F.filter(coarse, below)) - 1) * step
-    place = let(group, lambda g: F.greatest(F.lit(0), g + F.size(F.filter(F.slice(starts, g + 1, step), below)) - 1))
-    # range 0 holds the nulls as well; the rows that begin a range are also sent, as a halo, to the one before
-    at = F.when(F.col("_id").isNull(), 0).otherwise(place)
-    rows = rows.withColumn("_at", at)
-    begins = (F.col("_at") > 0) & (F.get(starts, F.col("_at")) == F.col("_id"))
-    very_first = F.col("_id").isNull() if cuts[1] else F.col("_id") == F.lit(cuts[2])
-    spot = lambda r, o: F.struct(r.cast("int").alias("range"), F.lit(o).alias("order"))
-    none = F.array().cast("array<struct<range:int,order:int>>")
-    before = F.when(begins, F.array(spot(F.col("_at") - 1, 1))).otherwise(none)
-    around = F.when(F.coalesce(very_first, F.lit(False)), F.array(spot(F.lit(last), 2))).otherwise(none)
-    dealt = rows.withColumn("_to", F.explode(F.concat(F.array(spot(F.col("_at"), 0)), before, around)))
-    dealt = dealt.select("_id", "_text", F.col("_to.range").alias("_range"), F.col("_to.order").alias("_order")).repartition("_range")
+    rows = dealt(rows, "_id", True, ranges)
     order = Window.partitionBy("_range").orderBy("_order", F.asc_nulls_first("_id"), "_text")
-    more = {c: f for c, f in (derive or {}).items()}
-    out = dealt.withColumns(more) if more else dealt
+    more = derive or {}
+    out = rows.withColumns(more) if more else rows
     out = out.withColumns({"next_text": F.lead("_text").over(order)} | {f"next_{c}": F.lead(c).over(order) for c in more}).where("_order = 0")
     return out.select(F.col("_id").alias(id), F.col("_text").alias(text), "next_text", *[x for c in more for x in (c, f"next_{c}")])
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import brown, decontaminate, fingerprints, near_duplicates, packing, pii, substrings, toxicity, warc
+from . import brown, decontaminate, fingerprints, near_duplicates, packing, pages, pii, substrings, toxicity, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_main_text": pages.op2_main_text,
     "op8_warc": warc.op8_warc,
     "op4_brown": brown.op4_brown,
     "op5_pii": pii.op5_pii,
