@@ -6,10 +6,11 @@ one element are thus correlated over the registers, which lowers the variance ag
 minima), and ranks stop as soon as no register of the row can still fall. Bands of registers are
 compared by equality; candidate pairs are confirmed on the full sets, exactly.
 
-Within a bucket no pairs are listed. Each member is confirmed against one pivot; linked members
-fall into components; only buckets that still hold more than one component go on, with other pivots,
-and last with the members of different components that were never compared. So each pair that
-shares a band ends in one component or has been compared. Rows of equal sets are one node.
+Within a bucket no pairs are listed. Each member is confirmed against one pivot, and linked members
+fall into components. The members of buckets that then hold several components are grouped by the
+buckets they share, and within a group each set is compared with all sets of other components at
+once, by the postings of its shingles, in blocks of bounded size. So each pair that shares a band
+ends in one component or has been compared. Rows of equal sets are one node.
 
 At the threshold itself a pair shares no band with probability (1 - 0.8^rows)^bands, 5e-6 for 40
 bands of 6; there is no cap on buckets, partners or candidates.
@@ -31,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ from . import _text as t
 
 BANDS, ROWS = 40, 6
 PERMUTATIONS = 4096
+#: Shingles of a block of sets that meet in one task with another block.
+BLOCK = 1_500_000
 U = np.uint64
 
 
@@ -111,7 +115,8 @@ def _sketch(k: int, bands: int, rows: int):
             words = t.Words(batch.column(batch.schema.get_field_index("_text")), t.SPACED, t.LOWER)
             values, at = shingle_sets(words, k)
             size = np.diff(at)
-            keys = band_keys(signatures(values, at, bands * rows, table), bands).view(np.int64)
+            signature = signatures(values, at, bands * rows, table)
+            keys = band_keys(signature, bands).view(np.int64)
             digest = [hashlib.blake2b(values[a:b], digest_size=16).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (batch.num_rows + 1) * bands, bands, dtype=np.int32)), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("_id")), pa.array(size), pa.array(digest, pa.binary()), lists], ["_id", "n", "digest", "bands"])
@@ -132,22 +137,98 @@ def _full_sets(k: int):
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Links are few beside the texts: as many tasks as cores do."""
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for links (a, b): the least node that each is joined to, by large-star and small-star steps."""
-    edges = t.stored(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = t.stored(both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = t.stored(_few(both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
-        small = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = t.stored(small, "small")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges = t.stored(_few(small.distinct()), "small")
+        # all stars: no centre is joined to a lesser one
+        if edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = state
+
+
+def _group_links(ids: np.ndarray, label: np.ndarray, items: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different labels, enough to join all labels that any pair links: the overlap
+    of one set with all others at once, by the postings of its shingles."""
+    size = np.diff(at)
+    owner = np.repeat(np.arange(len(ids)), size)
+    order = np.argsort(items, kind="stable")
+    first = np.concatenate(([True], items[order][1:] != items[order][:-1])) if len(items) else np.zeros(0, bool)
+    code = np.empty(len(items), np.int64)
+    code[order] = np.cumsum(first) - 1
+    posting, starts = owner[order], np.append(np.flatnonzero(first), len(items))
+    labels, label, many = np.unique(label, return_inverse=True, return_counts=True)
+    out = []
+    for q in np.flatnonzero(label != np.argmax(many)).tolist():  # pairs within the largest are joined, pairs with it are found from the other side
+        if (label == label[q]).all():
+            break
+        mine = code[at[q] : at[q + 1]]
+        low, n = starts[mine], starts[mine + 1] - starts[mine]
+        spots = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(posting[spots], minlength=len(ids))
+        near = ((100 + percent) * both >= percent * (size + size[q])) & (label != label[q])
+        for d in np.flatnonzero(near).tolist():
+            if label[d] != label[q]:
+                out.append((int(ids[q]), int(ids[d])))
+                label[label == label[d]] = label[q]
+    return out
+
+
+def _compare(percent: int):
+    """Streams groups of rows (group, i, j, _id, c, items) that are sorted by their first three columns."""
+
+    def run(batches):
+        held, key = [], None
+
+        def found():
+            ids, label = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            at = np.concatenate(([0], np.cumsum(np.concatenate([x[2] for x in held]))))
+            links = _group_links(ids, label, np.concatenate([x[3] for x in held]), at, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
+            ids, label = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+            sizes = pa.compute.list_value_length(batch.column(5)).to_numpy(zero_copy_only=False)
+            items, at = pa.compute.list_flatten(batch.column(5)).to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes)))
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if key is not None and tuple(keys[:, a]) != key:
+                    yield found()
+                    held = []
+                key = tuple(keys[:, a])
+                held.append((ids[a:b].copy(), label[a:b].copy(), sizes[a:b].copy(), items[at[a] : at[b]].copy()))
+        if held:
+            yield found()
+
+    return run
+
+
+def _across(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets (_id, group, c, items) of a group and of different components c.
+
+    No pairs are listed: a group's sets meet in one task, or, where they hold more than BLOCK shingles,
+    in blocks, each block with each other one.
+    """
+    sets = sets.withColumn("n", F.size("items"))
+    blocks = sets.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
+    dealt = sets.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int"))
+    each = dealt.select("group", "_id", "c", "items", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = each.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "_id", "c", "items")
+    rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return t.map_arrow(rows, _compare(percent), "a long, b long")
 
 
 def link(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -173,31 +254,16 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int =
     tested = t.stored(members.where("_id != pivot").select(F.col("_id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
     # one id with several sets, from repeated ids, needs no link: its sets share the node
     links = t.stored(confirm(tested), "links")
-    member = members.select("key", "_id").distinct()
-    for turn in range(1, 8):
-        found = components(links)
-        placed = member.join(found, member["_id"] == found["node"], "left").select("key", "_id", F.coalesce("component", "_id").alias("c"))
-        mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        placed = t.stored(placed.join(mixed, "key", "left_semi"), "mixed")
-        counts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-        each = counts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-        across, total = each.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not across:
-            break
-        other = placed.select(F.col("key").alias("key"), F.col("_id").alias("b"), F.col("c").alias("d"))
-        last = turn == 7 or across <= 8 * total
-        if last:
-            pairs = placed.join(other, "key").where("_id > b and c != d").select(F.col("_id").alias("a"), "b")
-        else:
-            pivots = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("_id", F.lit(turn)).alias("o"), F.col("_id").alias("b"), F.col("c").alias("d"))).alias("p"))
-            pairs = placed.join(pivots, "key").where("c != p.d").select(F.greatest("_id", "p.b").alias("a"), F.least("_id", "p.b").alias("b"))
-        pairs = t.stored(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = t.stored(confirm(pairs), "links")
-        links = t.stored(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "links")
-        if last:
-            found = components(links)
-            break
-        tested = tested.unionByName(pairs)
+    found = components(links)
+    placed = members.select("key", "_id").join(found, F.col("_id") == F.col("node"), "left").select("key", "_id", F.coalesce("component", "_id").alias("c"))
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    # buckets of one component are done with; sets that share another bucket, in a chain, are a group
+    placed = t.stored(_few(placed.join(mixed, "key", "left_semi").distinct()), "open")
+    chain = placed.join(placed.groupBy("key").agg(F.min("_id").alias("b")), "key").select(F.col("_id").alias("a"), "b").where("a != b").distinct()
+    groups = components(chain).select(F.col("node").alias("_id"), F.col("component").alias("group"))
+    own = placed.select("_id", "c").distinct().join(groups, "_id", "left").select("_id", "c", F.coalesce("group", "_id").alias("group"))
+    more = t.stored(_few(_across(items.join(own, "_id"), percent)), "links")
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     top = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("_component"))
     out = every.join(top, (every["digest"] == top["_digest"]) & (every["n"] > 0), "left")
     return out.select(F.col("_id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNull(), None).otherwise(F.coalesce("_component", "_id")).alias("component_id"))
