@@ -63,7 +63,8 @@ def ordered_lists(df: DataFrame, keys: list[str], order: str, columns: list[str]
     """One row per key with each column as a list in order; rows with a null in any of them are skipped."""
     full = df.where(" and ".join(f"`{c}` is not null" for c in columns))
     packed = full.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in columns if c != order]))).alias("_rows"))
-    return packed.select(*keys, *[F.transform("_rows", lambda r, c=c: r[c]).alias(c) for c in columns])
+    field = lambda c: F.transform("_rows", lambda r: r[c]).alias(c)
+    return packed.select(*keys, *map(field, columns))
 
 
 def last_value(df: DataFrame, name: str, keys: list[str], order: str, columns: list[str], **params) -> DataFrame:

@@ -236,6 +236,7 @@ def framed(df: DataFrame, alias: str, name: str, partition: list[str], order: li
     cols = [columns.get(k, "close" if k == "x" else k) for k in ind.inputs]
     frame = Frame(partition, order)
     rows = F.filter(F.collect_list(F.struct(*[F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(cols)])).over(frame.last(preceding + 1)), lambda r: ~F.greatest(*[r[f"v{k}"].isNull() for k in range(len(cols))], F.lit(False)))
-    lists = [F.transform("_frame", lambda r, k=k: r[f"v{k}"]) for k in range(len(cols))]
+    field = lambda k: F.transform("_frame", lambda r: r[f"v{k}"])
+    lists = [field(k) for k in range(len(cols))]
     value = F.try_element_at(series(name, *lists, **dict(zip(ind.params, params))), F.lit(-1))
     return df.withColumn("_frame", rows).withColumn(alias, value).drop("_frame")
