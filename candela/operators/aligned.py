@@ -36,9 +36,15 @@ def fill(df: DataFrame, ts: str, partition: list[str], columns: list[str], volum
     return df.withColumn("_real", F.lit(True)).unionByName(fake)
 
 
-def with_aligned(df: DataFrame, requests: list[Request], ts: str, partition: list[str], bar_period: int = 1, calendar: Calendar | None = None) -> DataFrame:
-    """with_indicators over filled bars, at the real rows. Requests with the same inputs share one fill."""
+def with_aligned(df: DataFrame, requests: list[Request], ts: str, partition: list[str], bar_period: int = 1, calendar: Calendar | None = None, skip_nulls: bool = True) -> DataFrame:
+    """with_indicators over filled bars, at the real rows. Requests with the same inputs share one fill;
+    give skip_nulls=False where no input is null, and all of them do."""
     asked, names = list(requests), df.columns
+    if not skip_nulls:
+        inputs = sorted({c for r in asked for c in r[3].values()})
+        volume = next((r[3]["volume"] for r in asked if "volume" in r[3]), None)
+        full = fill(df, ts, partition, inputs, volume, bar_period, calendar)
+        return with_indicators(full, asked, partition, [ts], skip_nulls=False).where("_real").select(*names, *[r[0] for r in asked])
     for group in sorted({tuple(r[3].items()) for r in asked}):
         some = [r for r in asked if tuple(r[3].items()) == group]
         inputs = dict(group)

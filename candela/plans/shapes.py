@@ -19,7 +19,7 @@ def nearest_shapes(series: DataFrame, key: str, values: str, target: list[float]
     """The `top` rows whose list is closest to target: `candidates` by cosine of the resampled shapes, of
     these by warped distance. The target, a list of the caller's, is a literal of the plan."""
     want = F.array(*[F.lit(float(v)) for v in target])
-    shaped = series.select(key, values, cosine(stats.stat_resample(values, points), stats.stat_resample(want, points)).alias("cosine"))
-    few = shaped.where("cosine is not null").orderBy(F.desc("cosine"), key).limit(candidates)
-    warped = few.withColumn("warp", stats.stat_dtw(stats.stat_resample(values, points), stats.stat_resample(want, points), window))
+    shaped = series.select(key, stats.stat_resample(values, points).alias("_s"), stats.stat_resample(want, points).alias("_t"))
+    few = shaped.withColumn("cosine", cosine(F.col("_s"), F.col("_t"))).where("cosine is not null").orderBy(F.desc("cosine"), key).limit(candidates)
+    warped = few.withColumn("warp", stats.stat_dtw("_s", "_t", window))
     return warped.select(key, "cosine", F.col("warp.distance").alias("distance"), F.col("warp.lag").alias("lag"), F.col("warp.similarity").alias("similarity")).orderBy("distance", key).limit(top)
