@@ -7,17 +7,17 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Weekdays on which the exchange was or is closed, 2020 to 2026, by year and month.
-HOLIDAYS = {
-    2020: {1: (1, 24, 27, 28, 29, 30, 31), 4: (6,), 5: (1, 4, 5), 6: (25, 26), 10: (1, 2, 5, 6, 7, 8)},
-    2021: {1: (1,), 2: (11, 12, 15, 16, 17), 4: (5,), 5: (3, 4, 5), 6: (14,), 9: (20, 21), 10: (1, 4, 5, 6, 7)},
-    2022: {1: (3, 31), 2: (1, 2, 3, 4), 4: (4, 5), 5: (2, 3, 4), 6: (3,), 9: (12,), 10: (3, 4, 5, 6, 7)},
-    2023: {1: (2, 23, 24, 25, 26, 27), 4: (5,), 5: (1, 2, 3), 6: (22, 23), 9: (29,), 10: (2, 3, 4, 5, 6)},
-    2024: {1: (1,), 2: (9, 12, 13, 14, 15, 16), 4: (4, 5), 5: (1, 2, 3), 6: (10,), 9: (16, 17), 10: (1, 2, 3, 4, 7)},
-    2025: {1: (1, 28, 29, 30, 31), 2: (3, 4), 4: (4,), 5: (1, 2, 5), 6: (2,), 10: (1, 2, 3, 6, 7, 8)},
-    2026: {1: (1,), 2: (16, 17, 18, 19, 20, 23), 4: (6,), 5: (1, 4, 5), 6: (19,), 9: (25,), 10: (1, 2, 5, 6, 7, 8)},
-}
-BUILT_IN = tuple(dt.date(y, m, d) for y, months in HOLIDAYS.items() for m, days in months.items() for d in days)
+# Weekdays on which the exchange was or is closed, 2020 to 2026, a line for each year.
+HOLIDAYS = """
+    2020-01-01 2020-01-24 2020-01-27 2020-01-28 2020-01-29 2020-01-30 2020-01-31 2020-04-06 2020-05-01 2020-05-04 2020-05-05 2020-06-25 2020-06-26 2020-10-01 2020-10-02 2020-10-05 2020-10-06 2020-10-07 2020-10-08
+    2021-01-01 2021-02-11 2021-02-12 2021-02-15 2021-02-16 2021-02-17 2021-04-05 2021-05-03 2021-05-04 2021-05-05 2021-06-14 2021-09-20 2021-09-21 2021-10-01 2021-10-04 2021-10-05 2021-10-06 2021-10-07
+    2022-01-03 2022-01-31 2022-02-01 2022-02-02 2022-02-03 2022-02-04 2022-04-04 2022-04-05 2022-05-02 2022-05-03 2022-05-04 2022-06-03 2022-09-12 2022-10-03 2022-10-04 2022-10-05 2022-10-06 2022-10-07
+    2023-01-02 2023-01-23 2023-01-24 2023-01-25 2023-01-26 2023-01-27 2023-04-05 2023-05-01 2023-05-02 2023-05-03 2023-06-22 2023-06-23 2023-09-29 2023-10-02 2023-10-03 2023-10-04 2023-10-05 2023-10-06
+    2024-01-01 2024-02-09 2024-02-12 2024-02-13 2024-02-14 2024-02-15 2024-02-16 2024-04-04 2024-04-05 2024-05-01 2024-05-02 2024-05-03 2024-06-10 2024-09-16 2024-09-17 2024-10-01 2024-10-02 2024-10-03 2024-10-04 2024-10-07
+    2025-01-01 2025-01-28 2025-01-29 2025-01-30 2025-01-31 2025-02-03 2025-02-04 2025-04-04 2025-05-01 2025-05-02 2025-05-05 2025-06-02 2025-10-01 2025-10-02 2025-10-03 2025-10-06 2025-10-07 2025-10-08
+    2026-01-01 2026-02-16 2026-02-17 2026-02-18 2026-02-19 2026-02-20 2026-02-23 2026-04-06 2026-05-01 2026-05-04 2026-05-05 2026-06-19 2026-09-25 2026-10-01 2026-10-02 2026-10-05 2026-10-06 2026-10-07 2026-10-08
+"""
+BUILT_IN = tuple(map(dt.date.fromisoformat, HOLIDAYS.split()))
 
 
 class Calendar:

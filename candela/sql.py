@@ -1,16 +1,22 @@
-"""SQL names of the list functions: register(spark), then ct_sma(list, 20), stat_var(list), cn_is_st(name).
+"""SQL names: register(spark), then ct_sma(list, 20), cta_sma(close, 20) OVER (...), cn_is_st(name).
 
-Each is a session function: indicators over lists as ct_<name>, statistics as stat_<name>. The market
-rules are SQL expressions, registered as SQL functions so that Catalyst inlines them.
+Each is a session function. ct_<name> is an indicator over lists; cta_<name> is one as an aggregate, of
+a group or a window frame, of a single output (Spark's vectorised aggregates give no structs: use
+with_indicators for those). A frame is computed afresh for each row; with_indicators is the fast way.
+The market rules are SQL expressions, which Catalyst inlines. Statistics of lists that are Arrow
+functions keep their names; the others are columns (functions.stats).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.market import BUILT_IN
-from .functions.registry import ALL
+from .functions.registry import ALL, Indicator
 from .operators.series import list_udf
 
 _SQL = {
@@ -25,12 +31,30 @@ _SQL = {
 }
 
 
+def _aggregate(ind: Indicator):
+    """The indicator's last value over the rows without nulls; parameters are constants of the group."""
+    many = len(ind.inputs)
+
+    def last(*args: pd.Series) -> float:
+        data = [a.to_numpy(float, na_value=np.nan) for a in args[:many]]
+        known = ~np.any([np.isnan(d) for d in data], axis=0)
+        if not len(known) or any(pd.isna(a.iloc[0]) for a in args[many:]):
+            return None
+        found = ind.run([d[known] for d in data], *(int(a.iloc[0]) for a in args[many:]))[0]
+        return None if found is None or np.isnan(found[-1]) else int(found[-1]) if ind.integer else float(found[-1])
+
+    return F.pandas_udf(last, "int" if ind.integer else "double")
+
+
 def register(spark: SparkSession) -> list[str]:
     """The names that were registered."""
     names = []
     for name in ALL:
         spark.udf.register(f"ct_{name}", list_udf(name))
         names.append(f"ct_{name}")
+        if not ALL[name].out:
+            spark.udf.register(f"cta_{name}", _aggregate(ALL[name]))
+            names.append(f"cta_{name}")
     for name in stats._KINDS:
         spark.udf.register(name, stats.arrow(name))
         names.append(name)

@@ -178,7 +178,11 @@ def test_wide_table(spark, daily):
 
 def test_sql_names(spark):
     names = sql.register(spark)
-    assert len(names) > 130
+    assert len(names) > 250
+    spark.createDataFrame([("A", k, float(x)) for k, x in enumerate((102, 107, 106, 111))] + [("B", 0, None)], "s string, ts int, x double").createOrReplaceTempView("prices")
+    rows = spark.sql("SELECT s, ts, cta_sma(x, 3) OVER (PARTITION BY s ORDER BY ts ROWS 2 PRECEDING) a, cta_ema(x, 3) OVER (PARTITION BY s ORDER BY ts) e FROM prices ORDER BY s, ts").collect()
+    assert [r.a for r in rows] == [None, None, 105.0, 108.0, None] and [r.e for r in rows] == [None, None, 105.0, 108.0, None]
+    assert spark.sql("SELECT cta_max(x, 4) m FROM prices WHERE s = 'A'").first().m == 111.0
     r = spark.sql("SELECT ct_sma(array(1D, 2D, 3D, 4D, 5D), 3) a, ct_minmax(array(1D, 2D, 3D), 2) b, stat_rsi(array(1D, 2D, 3D, 4D), 2) c, cn_is_st('ST x') d, cn_limit_pct('688001', false) e, cn_trading_day(DATE'2024-01-01') f, cn_volume_ratio(2D, array(1D, 1D)) g").first()
     assert r.a == [None, None, 2.0, 3.0, 4.0] and r.b[1]["max"] == 2.0 and (r.c, r.d, r.e, r.f, r.g) == (100.0, True, 0.2, False, 2.0)
 
