@@ -362,39 +362,60 @@ def minmax(x, p):
 DEGREES = 180.0 / math.pi
 
 
+_CYCLES: dict = {}
+
+
 def _cycle(x, begin):
+    """_discriminator, remembered for the last few series: several indicators start from the same one."""
+    key = (begin, x.tobytes())
+    if key not in _CYCLES:
+        if len(_CYCLES) >= 4:
+            _CYCLES.pop(next(iter(_CYCLES)))
+        _CYCLES[key] = _discriminator(x, begin)
+    return _CYCLES[key]
+
+
+def _discriminator(x, begin):
     """The homodyne discriminator from bar `begin` on: per bar the smoothed price, I1, Q1, period and smoothed period."""
     n = len(x)
     smooth = np.zeros(n)
     if n > 3:
         smooth[3:] = (4 * x[3:] + 3 * x[2:-1] + 2 * x[1:-2] + x[:-3]) / 10
-    s = smooth.tolist()
-    detrend, q1, i1 = [0.0] * n, [0.0] * n, [0.0] * n
-    periods, smoothed = [0.0] * n, [0.0] * n
+    # lists begin six bars early, with zeros, so that taps need no test
+    s = [0.0] * 6 + smooth[begin:].tolist()
+    m = len(s)
+    detrend, q1, i1 = [0.0] * m, [0.0] * m, [0.0] * m
+    periods, smoothed = [0.0] * m, [0.0] * m
     i2 = q2 = re = im = period = sp = 0.0
-
-    def taps(y, t):
-        at = lambda k: y[t - k] if t - k >= begin else 0.0
-        return 0.0962 * at(0) + 0.5769 * at(2) - 0.5769 * at(4) - 0.0962 * at(6)
-
-    for t in range(begin, n):
+    a, b, atan = 0.0962, 0.5769, math.atan
+    for t in range(6, m):
         adjust = 0.075 * period + 0.54
-        detrend[t] = taps(s, t) * adjust
-        q1[t] = taps(detrend, t) * adjust
-        i1[t] = detrend[t - 3] if t - 3 >= begin else 0.0
-        ji, jq = taps(i1, t) * adjust, taps(q1, t) * adjust
+        d = (a * s[t] + b * s[t - 2] - b * s[t - 4] - a * s[t - 6]) * adjust
+        detrend[t] = d
+        q = (a * d + b * detrend[t - 2] - b * detrend[t - 4] - a * detrend[t - 6]) * adjust
+        q1[t] = q
+        i = detrend[t - 3]
+        i1[t] = i
+        ji = (a * i + b * i1[t - 2] - b * i1[t - 4] - a * i1[t - 6]) * adjust
+        jq = (a * q + b * q1[t - 2] - b * q1[t - 4] - a * q1[t - 6]) * adjust
         old_i, old_q = i2, q2
-        q2, i2 = 0.2 * (q1[t] + ji) + 0.8 * old_q, 0.2 * (i1[t] - jq) + 0.8 * old_i
+        q2, i2 = 0.2 * (q + ji) + 0.8 * old_q, 0.2 * (i - jq) + 0.8 * old_i
         re = 0.2 * (i2 * old_i + q2 * old_q) + 0.8 * re
         im = 0.2 * (i2 * old_q - q2 * old_i) + 0.8 * im
         old = period
         if im != 0 and re != 0:
-            period = 360 / (math.atan(im / re) * DEGREES)
-        period = min(max(min(max(period, 0.67 * old), 1.5 * old), 6.0), 50.0)
+            period = 360 / (atan(im / re) * DEGREES)
+        top, low = 1.5 * old, 0.67 * old
+        if period > top:
+            period = top
+        if period < low:
+            period = low
+        period = 6.0 if period < 6 else 50.0 if period > 50 else period
         period = 0.2 * period + 0.8 * old
         sp = 0.33 * period + 0.67 * sp
         periods[t], smoothed[t] = period, sp
-    return s, i1, q1, periods, smoothed
+    lead = [0.0] * min(begin, n)
+    return smooth.tolist(), *(lead + y[6:] for y in (i1, q1, periods, smoothed))
 
 
 def ht_dcperiod(x):
@@ -421,18 +442,24 @@ def mama(x, fast, slow):
     return out
 
 
+#: Sines and cosines of one turn in `size` steps, for the sizes that a period can have.
+_TURNS = {size: (np.sin(np.arange(size) * 2 * math.pi / size), np.cos(np.arange(size) * 2 * math.pi / size)) for size in range(1, 52)}
+
+
 def _phase(x):
     """Phase and trend line per bar from 37 on, with the smoothed price and period."""
     s, _, _, _, smoothed = _cycle(x, 37)
     n, phase = len(x), 0.0
     phases, means = np.zeros(n), np.zeros(n)
+    back = np.concatenate((np.zeros(51), np.where(np.arange(n) >= 37, s, 0.0)))[::-1]  # newest first; bar t is at n - 1 - t
+    total = np.concatenate(([0.0], np.cumsum(x)))
     for t in range(37, n):
         size = int(smoothed[t] + 0.5)
         re = im = 0.0
-        for k in range(size):
-            price = s[t - k] if t - k >= 37 and k < 50 else 0.0
-            re += math.sin(k * 2 * math.pi / size) * price
-            im += math.cos(k * 2 * math.pi / size) * price
+        if size:
+            sines, cosines = _TURNS[size]
+            last = back[n - 1 - t : n - 1 - t + size]
+            re, im = float(sines @ last), float(cosines @ last)
         if abs(im) > 0:
             phase = math.atan(re / im) * DEGREES
         elif re < 0:
@@ -446,10 +473,12 @@ def _phase(x):
         if phase > 315:
             phase -= 360
         phases[t] = phase
-        means[t] = float(np.mean(x[t - size + 1 : t + 1])) if 0 < size <= t + 1 else 0.0
+        means[t] = (total[t + 1] - total[t - size + 1]) / size if 0 < size <= t + 1 else 0.0
     line = np.zeros(n)
-    for t in range(37, n):
-        line[t] = (4 * means[t] + sum(w * means[t - k] for k, w in ((1, 3), (2, 2), (3, 1)) if t - k >= 37)) / 10
+    if n > 37:
+        m = np.where(np.arange(n) >= 37, means, 0.0)
+        lag = lambda k: np.concatenate((np.zeros(k), m[:-k]))
+        line[37:] = ((4 * m + 3 * lag(1) + 2 * lag(2) + lag(3)) / 10)[37:]
     return s, smoothed, phases, line
 
 

@@ -214,13 +214,17 @@ def _scan(df: DataFrame, scans: list[Request], partition: list[str], order: list
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = list(zip(*(batch.column(names.index(c)).to_pylist() for c in partition))) if partition else [()] * batch.num_rows
-            cuts = [0, *(k for k in range(1, batch.num_rows) if keys[k] != keys[k - 1]), batch.num_rows]
+            change = np.zeros(batch.num_rows, bool)
+            for c in partition:
+                code = batch.column(names.index(c)).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                change[1:] |= code[1:] != code[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
-                if held and keys[a] != key:
+                own = tuple(batch.column(names.index(c))[a].as_py() for c in partition)
+                if held and own != key:
                     yield from compute(pa.Table.from_batches(held)).combine_chunks().to_batches(10_000)
                     held = []
-                key = keys[a]
+                key = own
                 held.append(batch.slice(a, b - a))
         if held:
             yield from compute(pa.Table.from_batches(held)).combine_chunks().to_batches(10_000)
