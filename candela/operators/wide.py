@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.registry import ALL
 from ..functions.stats import pearson
 from .windowed import Frame, request, with_indicators
 
@@ -36,10 +37,12 @@ def indicator_table(bars: DataFrame, partition: list[str], ts: str = "ts") -> Da
         bars = bars.withColumn("volume", F.lit(None).cast("double"))
     asked = [request(f"{n}{p}", n, p) for n, ps in _PERIODS.items() for p in ps] + [request(f"_{n}", n, *ps) for n, ps in _MANY.items()]
     asked += [request(n, n) for n in _PLAIN if n != "ad" or "volume" in has]
-    df = with_indicators(bars, asked, partition, [ts], skip_nulls=False)
+    # window columns first: they leave the rows dealt and sorted for the one pass over the recursive ones
+    later = [r for r in asked if ALL[r[1]].kind == "R" and r[1] not in ("bbands", "stoch")]
+    df = with_indicators(bars, [r for r in asked if r not in later], partition, [ts], skip_nulls=False)
     if "volume" not in has:
         df = df.withColumn("ad", F.lit(None).cast("double"))
-    fields = {n: [f.name for f in df.schema[f"_{n}"].dataType.fields] for n in _MANY}
+    fields = {n: ALL[n].out for n in _MANY}
     flat = {(f if f.startswith(n) or n in ("macd", "bbands", "stoch", "aroon", "mama") and f in ("macd", "mama", "fama", "slowk", "slowd", "aroon_up", "aroon_down") else f"{n}_{f}"): F.col(f"_{n}")[f] for n, fs in fields.items() for f in fs}
     frame = Frame(partition, [ts])
     c, v, before = F.col("close"), F.col("volume"), F.lag("close").over(frame.base)
@@ -51,7 +54,7 @@ def indicator_table(bars: DataFrame, partition: list[str], ts: str = "ts") -> Da
         derived |= {f"amount_ma{p}": F.when(F.count("amount").over(frame.last(p)) == p, F.avg("amount").over(frame.last(p))) for p in (5, 10)}
     if "outstanding_share" in has:
         derived["turnover_calc"] = share(v, F.col("outstanding_share"))
-    df = df.withColumns(flat | derived | {"_r": F.when((c > 0) & (before > 0), F.log(c / F.when(before > 0, before))), "_k": F.row_number().over(frame.base), "_up": F.max("close").over(frame.full)})
+    df = df.withColumns(derived | {"_r": F.when((c > 0) & (before > 0), F.log(c / F.when(before > 0, before))), "_k": F.row_number().over(frame.base), "_up": F.max("close").over(frame.full)})
     whole = frame.base.rowsBetween(-(2**63), 2**63 - 1)
     w20, full20 = frame.last(20), F.col("_k") >= 20
     n, m = F.count("close").over(whole), F.avg("close").over(whole)
@@ -90,5 +93,6 @@ def indicator_table(bars: DataFrame, partition: list[str], ts: str = "ts") -> Da
         "roll_max": F.max("high").over(w20),
     }
     df = df.withColumns(whole_series | {k: F.when(full20, x) for k, x in rolled.items()})
+    df = with_indicators(df, later, partition, [ts], skip_nulls=False).withColumns(flat)
     out = [r[0] for r in asked if not r[0].startswith("_")] + (["ad"] if "volume" not in has else []) + [*flat, *derived, *whole_series, *rolled]
     return df.select(*names, *[_null_nan(F.col(x)).alias(x) for x in dict.fromkeys(out)])
