@@ -41,7 +41,7 @@ from . import _text as t
 BANDS, ROWS = 40, 6
 PERMUTATIONS = 4096
 #: Shingles of a block of sets that meet in one task with another block.
-BLOCK = 1_500_000
+BLOCK = 400_000
 U = np.uint64
 
 

@@ -39,7 +39,7 @@ from . import _text as t
 
 SIZE, GRAIN, END = 2048, 8, 1
 #: Words that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Ids never reach over a change between these two classes: ASCII letters and digits, and ASCII
 #: punctuation but the apostrophe (which may begin a contraction).
 JOINTS = np.zeros(256, np.uint8)

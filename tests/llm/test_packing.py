@@ -57,5 +57,17 @@ def test_knapsack_equals_enumeration():
     assert worth == pytest.approx(best) and (pattern * np.arange(8)).sum() <= 7
 
 
+def test_clear_deletes_the_tables(spark):
+    import os
+
+    from candela.llm import _text
+
+    _text.clear(spark)
+    assert p.pack(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), p.default_tokenizer()).count() == 1
+    paths = [x.removeprefix("file://") for x in _text.TABLES]
+    assert paths and all(map(os.path.isdir, paths))
+    assert _text.clear(spark) == len(paths) and not any(map(os.path.exists, paths))
+
+
 def test_empty(spark):
     assert p.pack(spark.createDataFrame([], "doc_id long, text string"), p.default_tokenizer()).count() == 0
