@@ -183,13 +183,33 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Tables written by this driver and not yet cleared.
+TABLES: list[str] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that operators have written so far, once their results have been written; how many there were."""
+    n = len(TABLES)
+    while TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(TABLES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/candela/{name}-{uuid.uuid4().hex}"
+    TABLES.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def renamed(df: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
+    """df with columns c0, c1, ..., so that none clashes with a name of our own, and the new names of `named`."""
+    at = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    return df.toDF(*at.values()), [at[c] for c in named]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -240,6 +240,8 @@ def _pass(spark: SparkSession, docs: DataFrame, schema: T.StructType, text: str,
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_span: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with all their columns, less every covered span of at least max_span words (from its first
     word to its last), and less the rows of which more than max_coverage of the words are covered."""
+    names = docs.columns
+    docs, (text,) = t.renamed(docs, text)
     columns = docs.columns
     found = hits(docs, items, columns, text, item_id, item_text, window, block_words)
     kept = found.where(F.col("_words").eqNullSafe(0) | (_covered() <= F.lit(max_coverage) * F.col("_words")))
@@ -263,7 +265,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
                 column = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([column if f.name == text else batch.column(batch.schema.get_field_index(f.name)) for f in schema], names=schema.names)
 
-    return t.map_arrow(kept, run, schema).select(*columns)
+    return t.map_arrow(kept, run, schema).select(*columns).toDF(*names)
 
 
 def _covered():

@@ -237,9 +237,10 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
 def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with all columns, its text without what `repeats` removes; texts without repeats stay as they are."""
     found = repeats(docs, id, text, window).select("_key", F.col(id).alias("_id"), F.col("kept").alias("_kept")).dropDuplicates(["_key", "_id"])
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id), F.coalesce(F.col(text), F.lit(""))))
+    plain, (id, text) = t.renamed(docs, id, text)
+    keyed = plain.withColumn("_key", F.xxhash64(F.col(id), F.coalesce(F.col(text), F.lit(""))))
     joined = keyed.join(found, (keyed["_key"] == found["_key"]) & keyed[id].eqNullSafe(found["_id"]), "left")
-    return joined.select(*[F.coalesce(F.col("_kept"), keyed[c]).alias(c) if c == text else keyed[c] for c in docs.columns])
+    return joined.select(*[F.coalesce(F.col("_kept"), keyed[c]).alias(c) if c == text else keyed[c] for c in plain.columns]).toDF(*docs.columns)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ Rows: words are lower-cased `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Null, empty
 the score that the regression gives to differences of zero. Labels that are null or whose id is
 null are not learned from; ids with several labels are learned from by each. Where labels of both
 classes are lacking, every score is the rate of toxic words among the labelled ones (0 without any).
-`score` and `reject` carry all other columns, whatever their names but `_score` and `_scored`.
+`reject` carries all other columns, whatever their names; `score` those that are asked for.
 
 Scale: fitting joins the sampled ids to the texts by broadcast (the bound above); scoring is one
 pass without a shuffle.
@@ -202,7 +202,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] |
 
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows that score threshold or more."""
-    return score(docs, model, text).where(F.col("_score") < threshold).drop("_score")
+    plain, (text,) = t.renamed(docs, text)
+    return score(plain, model, text).where(F.col("_score") < threshold).drop("_score").toDF(*docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

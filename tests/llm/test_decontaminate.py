@@ -4,7 +4,7 @@ import re
 import pytest
 from candela.llm import decontaminate as d
 
-DOC = "doc_id long, text string, source string"
+DOC = "doc_id long, text string, _hits string"
 
 
 def lower(s):
@@ -50,7 +50,7 @@ def test_clean_cuts_spans_and_drops_covered_rows(spark):
     items = spark.createDataFrame([("i", "One two three")], "item_id string, text string")
     got = {r.doc_id: r for r in d.clean(docs, items, window=3, max_span=3, max_coverage=0.7).collect()}
     assert {k: r.text for k, r in got.items()} == {1: "x . y", 3: None, 4: "é clean"}
-    assert got[1].source == "s"
+    assert got[1]["_hits"] == "s"
 
 
 def test_empty_tables(spark):

@@ -32,9 +32,9 @@ def test_equals_brute_force(spark, window):
         own[5:5] = base[a : a + rng.randrange(80)]
         texts.append(rng.choice([" ", "\n", " \t"]).join(own))
     texts += [None, "", " ", "z " * 200, "only once " * 2, texts[3], texts[3], " ".join(base), "x" * 100_000]
-    docs = spark.createDataFrame([(k if k % 9 else None, x, k) for k, x in enumerate(texts)], "doc_id long, text string, pos int")
+    docs = spark.createDataFrame([(k if k % 9 else None, x, k) for k, x in enumerate(texts)], "doc_id long, text string, _key int")
     want = brute(texts, window)
-    got = {r.pos: r.text for r in s.deduplicate(docs, window=window).collect()}
+    got = {r._key: r.text for r in s.deduplicate(docs, window=window).collect()}
     assert len(got) == len(texts)
     for k, (gone, body) in enumerate(want):
         assert got[k] == (body if gone else texts[k]), k

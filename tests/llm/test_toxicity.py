@@ -26,7 +26,7 @@ def corpus(n, seed=0):
 @pytest.fixture(scope="module")
 def fitted(spark):
     docs, labels = corpus(900)
-    frame = spark.createDataFrame(docs + [(5000, None, "en"), (5001, "", None), (None, "idle " * 30000, "en"), (0, docs[0][1], "en")], "doc_id long, text string, lang string")
+    frame = spark.createDataFrame(docs + [(5000, None, "en"), (5001, "", None), (None, "idle " * 30000, "en"), (0, docs[0][1], "en")], "doc_id long, text string, _score string")
     return frame, spark.createDataFrame(labels + [(None, 1)], "doc_id long, toxic int"), labels
 
 
@@ -35,7 +35,7 @@ def test_held_out_accuracy(spark, fitted):
 
     docs, labels, truth = fitted
     model = x.fit(docs, labels, learn=~x.held_out(F.col("doc_id")))
-    rows = x.score(docs, model).withColumn("out", x.held_out(F.col("doc_id"))).collect()
+    rows = x.score(docs, model, carry=["doc_id"]).withColumn("out", x.held_out(F.col("doc_id"))).collect()
     assert len(rows) == 904 and all(0 <= r._score <= 1 for r in rows)
     want = {k: y for k, y in truth if y is not None}
     pairs = [(want[r.doc_id], r._score) for r in rows if r.out and r.doc_id in want]
@@ -68,6 +68,6 @@ def test_probabilities_sum_to_one(spark):
 def test_without_labels(spark, fitted):
     docs, labels, _ = fitted
     model = x.fit(docs, labels.limit(0))
-    assert {r._score for r in x.score(docs, model).collect()} <= {x.score(docs, model).first()._score}
+    assert {r._score for r in x.score(docs, model, carry=["doc_id"]).collect()} <= {x.score(docs, model, carry=["doc_id"]).first()._score}
     assert x.reject(docs, model).count() == docs.count()
-    assert x.score(docs.limit(0), model).count() == 0
+    assert x.score(docs.limit(0), model, carry=["doc_id"]).count() == 0
