@@ -40,7 +40,7 @@ from . import _text as t
 from ._order import dealt
 
 TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object noframes".split())
@@ -53,6 +53,7 @@ SKIP_NAMES = re.compile(
     r"(?:^|[-_])(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|footer|header|masthead|toolbar|comments?|comment-list|disqus|share|sharing|social|newsletter|subscribe|signup|login|popup|modal|overlay|related|recommended|widget|disclaimer)(?:[-_](?:s|box|slot|bar|list|wrap|wrapper|container|area|section|block|unit|panel|item|text|inner|top|bottom|left|right|links|main|site|page|\d+))*$",
     re.I,
 )
+SKIP_BEGINNINGS = re.compile(r"^(?:ads?|adsbygoogle|advert\w*|comment|comments|commentlist|cookie|sidebar|newsletter|sponsor\w*|promo|related|popup|modal|breadcrumbs?|share|social|disqus)(?:[-_].*)?$", re.I)
 KEEP_NAMES = re.compile(r"^(?:no|has|with|without|hide)[-_]", re.I)
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
@@ -65,14 +66,16 @@ def _named(rest: str) -> tuple[bool, bool]:
         if name in ("class", "id"):
             for x in value.split():
                 marked |= x in MARKED_NAMES
-                skip |= bool(SKIP_NAMES.search(x)) and not KEEP_NAMES.match(x)
+                skip |= bool(SKIP_NAMES.search(x) or SKIP_BEGINNINGS.match(x)) and not KEEP_NAMES.match(x)
         elif name == "role":
             skip |= value in SKIP_ROLES
             marked |= value in ("main", "article")
         elif name == "itemprop":
             marked |= value == "articlebody"
+        elif name == "aria-label":
+            skip |= value.startswith("advert") or value in ("breadcrumb", "comments", "cookie notice")
         elif name == "hidden":
-            skip = True
+            skip |= value != "until-found"
         elif name == "style":
             skip |= bool(re.search(r"display\s*:\s*none", value))
     return skip and not marked, marked

@@ -12,6 +12,7 @@ def test_lines():
     assert p.lines("") == [] and p.lines("a < b <p") == [("a < b", False)] and p.lines("<p>x<!-- never <p>y") == [("x", False)]
     assert p.lines('<p>a<span class="ad">B</span>c</p>') == [("ac", False)]
     assert p.lines("<main><form>n</form><textarea>n</textarea><div role=navigation>n</div>y<noscript>n") == [("y", True)]
+    assert p.lines('<article><p aria-hidden="false">a<div class="comment-body">b</div><div class="ad-slot-3">c</div><ins class=adsbygoogle>d</ins><p class="lead">e<section id="reader-comments"><p>f</section><div hidden>g</div><div style="overflow:hidden">h</div>') == [("a", True), ("e", True), ("h", True)]
     assert p.lines("x" * 300_000) == [("x" * 300_000, False)]
 
 
