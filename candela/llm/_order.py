@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SAMPLE = 8
+
 
 def let(value: Column, f) -> Column:
     """f(value), with value computed once a row."""
@@ -24,12 +28,15 @@ def dealt(df: DataFrame, key: str, wrap: bool = False, ranges: int | None = None
     spark = df.sparkSession
     ranges = ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = (df if keys is None else keys).select(F.col(key).alias("k"))
-    nulls, least = keys.agg(F.count(F.when(F.col("k").isNull(), 1)), F.min("k")).first()
-    sample = sorted({r.k for r in keys.where("k is not null").orderBy(F.xxhash64("k"), "k").limit(16 * ranges).collect()})
-    firsts = sorted({least, *sample[:: max(1, len(sample) // ranges)]}) if sample else []
+    rows, nulls, least = keys.agg(F.count(F.lit(1)), F.count(F.when(F.col("k").isNull(), 1)), F.min("k")).first()
+    drawn = F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, SAMPLE * ranges / max(rows, 1))))
+    sample = sorted({r.k for r in keys.where(F.col("k").isNotNull() & drawn).collect()})
+    firsts = sorted({least, *sample[:: max(1, len(sample) // ranges)]}) if least is not None else []
     kind = f"array<{df.schema[key].dataType.simpleString()}>"
     step = max(1, int(len(firsts) ** 0.5))
-    starts, coarse = (F.array(*map(F.lit, x)).cast(kind) for x in (firsts, firsts[::step]))
+    # one literal each, however many ranges there are
+    literal = lambda x: F.from_json(F.lit(json.dumps([v if v is None else str(v) for v in x])), "array<string>").cast(kind)
+    starts, coarse = literal(firsts), literal(firsts[::step])
 
     def place(k: str) -> Column:
         below = lambda x: x <= F.col(k)
@@ -47,7 +54,7 @@ def dealt(df: DataFrame, key: str, wrap: bool = False, ranges: int | None = None
     behind = none
     if both and len(firsts) > 1:
         ends = dict(keys.where("k is not null").groupBy(place("k").alias("at")).agg(F.max("k")).collect())  # a row per range
-        lasts = F.array(*[F.lit(ends.get(k)) for k in range(len(firsts))]).cast(kind)
+        lasts = literal([ends.get(k) for k in range(len(firsts))])
         ending = (F.col("_at") < len(firsts) - 1) & (F.get(lasts, F.col("_at")) == F.col(key))
         behind = F.when(ending, F.array(spot(F.col("_at") + 1, -1))).otherwise(none)
     rows = rows.withColumn("_to", F.explode(F.concat(F.array(spot(F.col("_at"), 0)), before, around, behind)))
