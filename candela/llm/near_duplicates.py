@@ -237,7 +237,7 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int =
     every = t.stored(t.map_arrow(source, _sketch(shingle, bands, rows), "_id long, n long, digest binary, bands array<long>"), "sketches")
     sets = every.where("n > 0 and _id is not null")
     classes = sets.groupBy("digest").agg(F.min("_id").alias("rep"))
-    classes = t.stored(classes, "classes")
+    classes = t.stored(_few(classes), "classes")
     nodes = sets.join(classes, (sets["digest"] == classes["digest"]) & (sets["_id"] == classes["rep"]), "left_semi").dropDuplicates(["_id", "digest"])
     spread = nodes.select("_id", "digest", F.explode("bands").alias("key"))
     full = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("pivot")).where("n > 1").drop("n")
@@ -251,7 +251,7 @@ def link(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int =
         near = (F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * percent) & ((100 + percent) * F.size(F.array_intersect("x", "y")).cast("long") >= percent * (F.size("x") + F.size("y")).cast("long"))
         return both.where(near).select("a", "b")
 
-    tested = t.stored(members.where("_id != pivot").select(F.col("_id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    tested = t.stored(_few(members.where("_id != pivot").select(F.col("_id").alias("a"), F.col("pivot").alias("b")).distinct()), "pairs")
     # one id with several sets, from repeated ids, needs no link: its sets share the node
     links = t.stored(confirm(tested), "links")
     found = components(links)
