@@ -155,6 +155,26 @@ def _knapsack(price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan elimination with row exchanges. The matrices are small, and a threaded LAPACK may
+    hang in a driver that has forked."""
+    n = len(a)
+    both = np.hstack([a.astype(float), np.eye(n)])
+    for k in range(n):
+        p = k + int(np.argmax(np.abs(both[k:, k])))
+        if p != k:
+            both[[k, p]] = both[[p, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, n:]
+
+
+def _apply(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", a, x)
+
+
 def column_generation(demand: np.ndarray, gap: float = 1e-3, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often to use them, for demand[s] pieces of s units in stock of len(demand) - 1 units."""
     capacity = len(demand) - 1
@@ -178,31 +198,31 @@ def column_generation(demand: np.ndarray, gap: float = 1e-3, rounds: int = 2000)
             left[ended] = 0
             left = np.maximum(left, 0)
             basis[:, ended] = pattern
-    inverse = np.linalg.inv(basis)
-    x = np.maximum(inverse @ need, 0)
-    bound = need @ sizes / capacity
+    inverse = _inverse(basis)
+    x = np.maximum(_apply(inverse, need), 0)
+    bound = (need * sizes).sum() / capacity
     for step in range(rounds):
-        dual = np.ones(m) @ inverse
+        dual = inverse.sum(0)
         price = np.zeros(capacity + 1)
         price[sizes] = np.maximum(dual, 0)
         worth, pattern = _knapsack(price, capacity)
-        bound = max(bound, (price[sizes] @ need) / max(worth, 1.0))
+        bound = max(bound, (price[sizes] * need).sum() / max(worth, 1.0))
         if worth <= 1 + 1e-9 or x.sum() - bound <= max(gap * bound, 0.5):
             break
         column = pattern[sizes].astype(float)
-        d = inverse @ column
+        d = _apply(inverse, column)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         leave = int(np.argmin(ratio))
         if not np.isfinite(ratio[leave]):
             break
         basis[:, leave] = column
         if step % 50 == 49:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
         else:
             row = inverse[leave] / d[leave]
             inverse -= np.outer(d, row)
             inverse[leave] = row
-        x = np.maximum(inverse @ need, 0)
+        x = np.maximum(_apply(inverse, need), 0)
     left, out = demand.copy(), []
     for k in np.argsort(-x, kind="stable"):
         pattern = np.zeros(capacity + 1, np.int64)
