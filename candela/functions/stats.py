@@ -309,15 +309,29 @@ def _dtw(a, b, window):
     if not n or not m:
         return None
     w = int(window) if window and window > 0 else max(n, m)
-    cost = np.full((n + 1, m + 1), np.inf)
-    cost[0, 0] = 0
+    a, b, inf = a.tolist(), b.tolist(), float("inf")
+    # rows of the band only: row i holds the columns from starts[i] on; outside it the cost is infinite
+    starts, rows = [0], [[0.0] + [inf] * min(m, w)]
     for i in range(1, n + 1):
-        for j in range(max(1, i - w), min(m, i + w) + 1):
-            cost[i, j] = abs(a[i - 1] - b[j - 1]) + min(cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])
+        lo, hi, start, above, x = max(1, i - w), min(m, i + w), starts[-1], rows[-1], a[i - 1]
+        row, left, size = [], inf, len(above)
+        for j in range(lo, hi + 1):
+            k = j - start
+            diagonal = above[k - 1] if 0 < k <= size else inf
+            up = above[k] if 0 <= k < size else inf
+            left = abs(x - b[j - 1]) + min(diagonal, up, left)
+            row.append(left)
+        starts.append(lo)
+        rows.append(row)
+
+    def cost(i, j):
+        k = j - starts[i]
+        return rows[i][k] if 0 <= k < len(rows[i]) else inf
+
     i, j, lags = n, m, []
     while i > 0 and j > 0:
         lags.append(j - i)
-        diagonal, up, left = cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1]
+        diagonal, up, left = cost(i - 1, j - 1), cost(i - 1, j), cost(i, j - 1)
         if diagonal <= up and diagonal <= left:
             i, j = i - 1, j - 1
         elif up <= left:
@@ -325,7 +339,7 @@ def _dtw(a, b, window):
         else:
             j -= 1
     lags.sort()
-    distance = float(cost[n, m])
+    distance = cost(n, m)
     return {"distance": distance, "lag": lags[len(lags) // 2], "similarity": 1 / (1 + distance / (n + m))}
 
 

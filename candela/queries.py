@@ -330,7 +330,7 @@ def _series_lists(spark, sf_dir):
 
 def stats_lists(spark, sf_dir):
     """Statistics of each symbol's closes and volumes as lists."""
-    df = _series_lists(spark, sf_dir).withColumn("r", F.transform(F.slice("close", 2, 100_000), lambda v, k: v / F.get("close", k) - 1)).withColumn("q", F.transform("r", lambda v: v / 100))
+    df = _series_lists(spark, sf_dir).withColumn("r", F.transform(F.slice("close", 2, F.size("close")), lambda v, k: v / F.get("close", k) - 1)).withColumn("q", F.transform("r", lambda v: v / 100))
     x, v = "close", "volume"
     found = {
         "var": stats.stat_var(x), "stddev": stats.stat_stddev(x), "cov": stats.stat_cov(x, v), "corr": stats.stat_corr(x, v), "beta": stats.stat_beta(x, v), "skew": stats.stat_skew(x), "kurtosis": stats.stat_kurtosis(x),
@@ -359,7 +359,7 @@ def stats_scans(spark, sf_dir):
     r = F.transform("close", lambda v: v / SCALE - 0.5)
     found = {
         "ewma_vol": stats.stat_ewma_vol("close", 0.94), "calmar": stats.stat_calmar(F.transform(r, lambda v: v / 100), 252), "drawdown_duration": stats.stat_max_drawdown_duration("close"), "garch_vol": stats.stat_garch_vol("close", 252, 0.05, 0.9),
-        "coint": stats.stat_coint("close", "volume"), "rsi": stats.stat_rsi("close", 14.0), "kalman_last": F.try_element_at(stats.stat_kalman("close", 0.01, 1.0), F.lit(-1)), "dtw": stats.stat_dtw(F.slice("close", 1, 60), F.slice("open", 1, 60), 10)["distance"],
+        "coint": stats.stat_coint("close", "volume"), "rsi": stats.stat_rsi("close", 14.0), "kalman_last": F.try_element_at(stats.stat_kalman("close", 0.01, 1.0), F.lit(-1)), "dtw": stats.stat_dtw("close", "open", 10)["distance"],
         "ols_first": F.get(stats.stat_ols("close", F.array("volume", "open"))["coefficients"], 0), "pca_largest": F.try_element_at(stats.stat_pca(F.array("close", "volume"))["eigenvalues"], F.lit(-1)), "resample_last": F.try_element_at(stats.stat_resample("close", 16), F.lit(-1)),
     }
     return df.select("symbol", *[rounded(c).alias(n) for n, c in found.items()])
