@@ -276,21 +276,26 @@ ALIGNED_LOCAL = ["sma", "sum", "max", "min", "midpoint", "mom", "roc", "linearre
 
 
 def _minutes(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return bars.from_events(events.where(market.Calendar().trading_minute(F.col("ts"))), "minute")
+    """Minute bars of all events; the calendar rules only what is filled in between."""
+    return bars.from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), "minute")
 
 
-def _aligned_query(names: list[str]) -> Query:
+def _trading_minutes(spark, sf_dir):
+    """Minute bars of the events in trading minutes, as the SQL of aligned_local has them."""
+    return _minutes(spark, sf_dir).where(market.Calendar().trading_minute(F.col("ts")))
+
+
+def _aligned_query(names: list[str], source: Query) -> Query:
     def query(spark, sf_dir):
-        df = _minutes(spark, sf_dir)
+        df = source(spark, sf_dir)
         found = aligned.with_aligned(df, [request(f"v_{n}", n, *params_of(n)) for n in names], "ts", ["symbol"], skip_nulls=False)
         return found.select("symbol", "ts", *[rounded(f"v_{n}").alias(n) for n in names])
 
     return query
 
 
-QUERIES["aligned_local"] = _aligned_query(ALIGNED_LOCAL)
-QUERIES["aligned_recursive"] = _aligned_query([n for n in aligned.aligned_names() if n not in ALIGNED_LOCAL])
+QUERIES["aligned_local"] = _aligned_query(ALIGNED_LOCAL, _trading_minutes)
+QUERIES["aligned_recursive"] = _aligned_query([n for n in aligned.aligned_names() if n not in ALIGNED_LOCAL], _minutes)
 _HOLIDAYS = ", ".join(f"DATE '{d}'" for d in market.BUILT_IN)
 _MINUTE = "(isodow({t}) < 6 AND CAST({t} AS DATE) NOT IN ({h}) AND (hour({t}) * 60 + minute({t}) BETWEEN 571 AND 690 OR hour({t}) * 60 + minute({t}) BETWEEN 781 AND 897 OR hour({t}) * 60 + minute({t}) = 900))"
 

@@ -7,7 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from candela import queries
-from candela.functions import stats
+from candela.functions import market, stats
+from candela.operators import aligned
+from pyspark.sql import functions as F
 
 
 def _events(path, values, step):
@@ -47,3 +49,18 @@ def test_returns_beyond_100_000_bars(spark, tmp_path):
     x = np.array(values)
     want = (np.diff(x) / x[:-1] / 100).std(ddof=1) * math.sqrt(252)
     assert abs(got.annual_vol - want) < 2e-6
+
+
+def test_aligned_keeps_bars_off_the_grid(spark, tmp_path):
+    """A Saturday and nights: every bar is a row, and only trading minutes are filled in."""
+    path = _events(tmp_path, [float(k % 7) for k in range(200)], dt.timedelta(hours=5))
+    got = queries.QUERIES["aligned_recursive"](spark, path).orderBy("ts").collect()
+    assert [r.ts for r in got] == [dt.datetime(2024, 1, 1, 0, 30) + k * dt.timedelta(hours=5) for k in range(200)]
+    full = aligned.fill(queries._minutes(spark, path), "ts", ["symbol"], ["close"], "volume")
+    assert full.where("_real").count() == 200
+    assert full.where(~market.Calendar().trading_minute(F.col("ts")) & ~F.col("_real")).count() == 0
+    close = {r.ts: r.close for r in full.orderBy("ts").collect()}
+    ema, k = sum(list(close.values())[:14]) / 14, 2 / 15
+    for v in list(close.values())[14:]:
+        ema += (v - ema) * k
+    assert got[-1].ema == round(ema, 6)
