@@ -7,10 +7,9 @@ length: over the whole text, and over its most toxic expressions (single words a
 a few insults in a long text leave the mean unmoved. A logistic regression on these normalised
 differences, fitted on labelled rows that the models did not see, turns them into 0 to 1.
 
-Bounds: the models learn from at most `sample` labelled rows, those of least hash of their id; they
-hold at most `model_size` words and as many word pairs, the most frequent ones. These are the only
-bounds; every whole text is scored. Labels are read for fitting only, and of a text nothing but its
-words is an input of its score.
+Bounds: the models learn from at most `sample` labelled rows, those of least hash of their id, and
+hold all words and word pairs of these. This is the only bound; every whole text is scored. Labels
+are read for fitting only, and of a text nothing but its words is an input of its score.
 
 Rows: words are lower-cased `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Null, empty and wordless texts get
 the score that the regression gives to differences of zero. Labels that are null or whose id is
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import _text as t
 
-SAMPLE, MODEL_SIZE, THRESHOLD = 16_000, 400_000, 0.3
+SAMPLE, THRESHOLD = 16_000, 0.3
 FEATURES = 7
 UNKNOWN = np.uint64(1)
 
@@ -48,7 +47,7 @@ class Model:
         self.word, self.toxic1, self.plain1 = word, toxic1, plain1
         self.pair, self.toxic2, self.plain2 = pair, toxic2, plain2
         self.back_toxic, self.back_plain = back_toxic, back_plain
-        self.weights = None
+        self.weights = self.held = None  # held: the broadcast of the model without them
 
     def differences(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P(word | before, toxic) - log P(word | before, ordinary) of each word."""
@@ -120,40 +119,48 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(kind[first].astype(np.int32)), pa.array(before[first].view(np.int64)), pa.array(h[first].view(np.int64)), pa.array(n)], ["toxic", "before", "word", "n"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, sample: int = SAMPLE, model_size: int = MODEL_SIZE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, sample: int = SAMPLE) -> Model:
     """Learn from the labelled rows for which `learn`, a condition on the labels' columns, holds."""
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & (F.lit(True) if learn is None else learn))
     chosen = known.select(F.col(id).alias("_id"), (F.col(label) > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample)
     texts = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
     texts = texts.withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(4)))
-    counts = t.stored(t.map_arrow(texts.where("fold != 0").select("toxic", "text"), _count, "toxic int, before long, word long, n long").groupBy("toxic", "before", "word").agg(F.sum("n").alias("n")), "pairs")
-
-    def taken(df: DataFrame, order: list) -> dict[str, np.ndarray]:
-        found = df.orderBy(*order).limit(model_size).toArrow()
-        return {c: found.column(c).to_numpy() for c in found.column_names}
+    by_class = [F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).cast("int").alias(f"c{k}") for k in (0, 1)]
+    found = t.map_arrow(texts.where("fold != 0").select("toxic", "text"), _count, "toxic int, before long, word long, n long").groupBy("before", "word").agg(*by_class).toArrow()  # pairs of the sample
+    every = {c: found.column(c).to_numpy() for c in found.column_names}
+    del found
+    pa.default_memory_pool().release_unused()
+
+    def totals(side: str) -> dict[str, np.ndarray]:
+        """Counts of the words on one side of the pairs, and with how many words each class has them."""
+        key = every[side].view(np.uint64)
+        kinds, place = np.unique(key, return_inverse=True)
+        out = {side: kinds, "left": np.bincount(place, minlength=len(kinds))}
+        for k in (0, 1):
+            out[f"c{k}"] = np.bincount(place, every[f"c{k}"], len(kinds))
+            out[f"k{k}"] = np.bincount(place, every[f"c{k}"] > 0, len(kinds))
+        return out
 
-    by_class = {k: F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)) for k in (0, 1)}
-    one = {k: F.count(F.when(F.col("toxic") == k, 1)) for k in (0, 1)}
-    words = taken(counts.groupBy("word").agg(by_class[0].alias("c0"), by_class[1].alias("c1"), F.count_distinct("before").alias("left")), [F.desc(F.col("c0") + F.col("c1")), "word"])
-    whole = counts.agg(by_class[0], by_class[1], F.count_distinct("before", "word"), F.count_distinct("word"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("word"))), F.count_distinct(F.when(F.col("toxic") == 1, F.col("word"))), *[F.count(F.when((F.col("toxic") == k) & (F.col("n") == n), 1)) for k in (0, 1) for n in (1, 2)]).first()
-    n0, n1, kinds, v, v0, v1 = (float(x or 0) for x in whole[:6])
-    discount = [x / (x + 2 * y) if x and y else 0.75 for x, y in ((whole[6], whole[7]), (whole[8], whole[9]))]
-    contexts = taken(counts.groupBy("before").agg(by_class[0].alias("c0"), by_class[1].alias("c1"), one[0].alias("k0"), one[1].alias("k1")), [F.desc(F.col("c0") + F.col("c1")), "before"])
-    pairs = taken(counts.groupBy("before", "word").agg(by_class[0].alias("c0"), by_class[1].alias("c1")).where("before != 0 and c0 + c1 > 1"), [F.desc(F.col("c0") + F.col("c1")), "before", "word"])
+    words, contexts = totals("word"), totals("before")
+    n0, n1 = (float(words[f"c{k}"].sum()) for k in (0, 1))
+    v0, v1 = (float((words[f"c{k}"] > 0).sum()) for k in (0, 1))
+    kinds = float(len(every["word"]))
+    discount = [x / (x + 2 * y) if x and y else 0.75 for x, y in (((every[c] == 1).sum(), (every[c] == 2).sum()) for c in ("c0", "c1"))]
+    inner = every["before"] != 0
+    pairs = {c: every.pop(c)[inner] for c in list(every)}
+    del inner
 
     def probability(shared, c, n, distinct):
         return np.maximum(c - 0.5, 0) / n + 0.5 * distinct / n * shared if n else shared
 
-    order = np.argsort(words["word"].view(np.uint64))
-    words = {k: x[order] for k, x in words.items()}
-    word = words["word"].view(np.uint64)
+    word = words["word"]
     shared = np.append(np.maximum(words["left"] - 0.75, 0), 0) / max(kinds, 1) + 0.75 / max(kinds, 1)
     toxic1 = probability(shared, np.append(words["c1"], 0), n1, v1)
     plain1 = probability(shared, np.append(words["c0"], 0), n0, v0)
     back = [np.ones(len(word) + 1), np.ones(len(word) + 1)]
     total = [np.ones(len(word) + 1), np.ones(len(word) + 1)]
-    at = np.searchsorted(word, contexts["before"].view(np.uint64))
-    fine = (at < len(word)) & (word[np.minimum(at, max(len(word) - 1, 0))] == contexts["before"].view(np.uint64)) if len(word) else np.zeros(0, bool)
+    at = np.searchsorted(word, contexts["before"])
+    fine = (at < len(word)) & (word[np.minimum(at, max(len(word) - 1, 0))] == contexts["before"]) if len(word) else np.zeros(0, bool)
     for k in (0, 1):
         c, many = contexts[f"c{k}"][fine], contexts[f"k{k}"][fine]
         total[k][at[fine]] = np.maximum(c, 1)
@@ -161,13 +168,16 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     before, after = pairs["before"].view(np.uint64), pairs["word"].view(np.uint64)
     at = np.minimum(np.searchsorted(word, before), max(len(word) - 1, 0))
     keys = t.pair(before, after)
+    del before, after
     order = np.argsort(keys)
-    given = [(np.maximum(pairs[f"c{k}"] - discount[k], 0) / total[k][at])[order] for k in (0, 1)] if len(keys) else [np.zeros(0)] * 2
+    given = [(np.maximum(pairs[f"c{k}"] - discount[k], 0) / total[k][at])[order].astype(np.float32) for k in (0, 1)] if len(keys) else [np.zeros(0)] * 2
+    del pairs, at
     model = Model(word, toxic1, plain1, keys[order], given[1], given[0], back[1], back[0])
 
     if not len(keys):  # a pair that no text has
         model.pair, model.toxic2, model.plain2 = np.array([2**64 - 1], np.uint64), np.zeros(1), np.zeros(1)
     held = docs.sparkSession.sparkContext.broadcast(model)
+    model.held = held
 
     def features(batches):
         for batch in t.sliced(batches, "text"):
@@ -188,11 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 def score(docs: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` of docs (all) with `_score`."""
     carry = docs.columns if carry is None else carry
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, weights = model.held, model.weights
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     source = docs.select(*carry, F.col(text).alias("_scored"))
 
     def run(batches):
+        held.value.weights = weights
         for batch in t.sliced(batches, "_scored"):
             x = held.value.features(batch.column(batch.schema.get_field_index("_scored")))
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(carry))] + [pa.array(held.value.score(x))], [*carry, "_score"])

@@ -71,3 +71,19 @@ def test_without_labels(spark, fitted):
     assert {r._score for r in x.score(docs, model, carry=["doc_id"]).collect()} <= {x.score(docs, model, carry=["doc_id"]).first()._score}
     assert x.reject(docs, model).count() == docs.count()
     assert x.score(docs.limit(0), model, carry=["doc_id"]).count() == 0
+
+
+def test_pairs_seen_once_are_evidence(spark):
+    """All words and word pairs of the sampled rows are in the model, and each context's mass is whole."""
+    docs = spark.createDataFrame([(k, f"a{k} b{k} c{k}", 0) for k in range(40)] + [(100 + k, f"d{k} e{k} f{k}", 1) for k in range(40)], "doc_id long, text string, x int")
+    labels = docs.selectExpr("doc_id", "x as toxic")
+    m = x.fit(docs, labels)
+    kept = m.word.astype(np.uint64)
+    known = 0
+    for k in range(40):
+        for names in ((f"a{k}", f"b{k}", f"c{k}"), (f"d{k}", f"e{k}", f"f{k}")):
+            h = t.word_hashes(pa.array([w.encode() for w in names], pa.binary()))
+            if np.isin(h, kept).all():
+                known += 1
+                assert np.isin(t.pair(h[:-1], h[1:]), m.pair).all()
+    assert known * 3 == len(m.word) and len(m.pair) == known * 2
