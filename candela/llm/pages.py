@@ -2,8 +2,9 @@
 
 Pages of a host are ordered by URL path, and each is paired with the neighbour whose path has the
 longer common beginning. Their text lines (the text of each block) are aligned by a longest common
-subsequence, and lines that the alignment shares are deleted. A neighbour that shares most of its
-lines is a copy of the page rather than another page of the site, and the other one is taken.
+subsequence, and lines that the alignment shares are deleted. Neighbours whose lines are all the same
+are copies, and the nearest page beyond a run of them is taken. A neighbour that shares four fifths of
+the lines is a near copy rather than another page of the site, and the one on the other side is taken.
 
 Differencing alone can't give right results: a lone page of a host has no neighbour, menus and
 adverts that vary from page to page are not shared, and an article's own lines are deleted where a
@@ -21,7 +22,8 @@ are ordered by id and content; repeated rows are rows. Other columns are not rea
 
 Scale: each page goes, compressed, to a range of (host, path) once, with the hashes of its lines;
 the first pages of a range are also given to the range before, and the last ones to the range after,
-so neighbours meet in one task wherever a host's pages are cut. No host is gathered.
+so neighbours meet in one task wherever a host's pages are cut; a run of copies over several ranges
+is bridged by a row for each range. No host is gathered.
 """
 
 from __future__ import annotations
@@ -188,8 +190,8 @@ def _difference(batches):
                 gone.append(sum(not m for m in marks))
                 continue
             shared: list[int] = []
-            others = [(p, x) for p, x in ((col["before_path"][r], col["before"][r]), (col["after_path"][r], col["after"][r])) if p is not None]
-            for _, x in sorted(others, key=lambda o: -_near(o[0], col["path"][r])):
+            others = [(p, x, next_to) for p, x, next_to in ((col["before_path"][r], col["before"][r], col["_starts"][r]), (col["after_path"][r], col["after"][r], col["_ends"][r])) if p is not None]
+            for _, x, _ in sorted(others, key=lambda o: (-_near(o[0], col["path"][r]), not o[2])):
                 same = common(col["lines"][r], x)
                 if len(same) * 5 < 4 * len(own):  # or else a copy
                     shared = same
@@ -212,10 +214,20 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str
     spread = dealt(found, "key", ranges=ranges, keys=rows, both=True)
     order = Window.partitionBy("_range").orderBy("_order", "key", "body")
     one = F.struct("host", "path", "lines")
-    spread = spread.withColumns({"_before": F.lag(one).over(order), "_after": F.lead(one).over(order)})
+    # copies in a row are a run: the page before is the last one of the run before, the page after the first of the next
+    differs = lambda side: F.coalesce((side("host").over(order) != F.col("host")) | (side("lines").over(order) != F.col("lines")), F.lit(True))
+    spread = spread.withColumns({"_starts": differs(F.lag), "_ends": differs(F.lead)}).where("_order = 0")
+    spread = spread.withColumns({"_end": F.when(F.col("_ends"), one), "_start": F.when(F.col("_starts"), one)})
+    spread = spread.withColumns({"_before": F.last("_end", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.first("_start", True).over(order.rowsBetween(1, Window.unboundedFollowing))})
+    # a run may go on over several ranges: their outermost pages, a row for each range, are carried over them
+    place = F.struct("key", "body")
+    edges = spread.groupBy("_range").agg(F.max_by("_end", F.when(F.col("_ends"), place)).alias("_end"), F.min_by("_start", F.when(F.col("_starts"), place)).alias("_start"))
+    across = Window.orderBy("_range")
+    edges = edges.select(F.col("_range").alias("_at"), F.last("_end", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_start", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    spread = spread.join(F.broadcast(edges), F.col("_range") == F.col("_at"), "left").withColumns({"_before": F.coalesce("_before", "_earlier"), "_after": F.coalesce("_after", "_later")})
     same = lambda c: F.when((F.col(f"{c}.host") == F.col("host")) & (F.col("host") != ""), F.col(c))
-    spread = spread.where("_order = 0").withColumns({"_before": same("_before"), "_after": same("_after")})
-    ready = spread.select("_id", "_url", "path", "body", "marks", "lines", F.col("_before.path").alias("before_path"), F.col("_before.lines").alias("before"), F.col("_after.path").alias("after_path"), F.col("_after.lines").alias("after"))
+    spread = spread.withColumns({"_before": same("_before"), "_after": same("_after")})
+    ready = spread.select("_id", "_url", "_starts", "_ends", "path", "body", "marks", "lines", F.col("_before.path").alias("before_path"), F.col("_before.lines").alias("before"), F.col("_after.path").alias("after_path"), F.col("_after.lines").alias("after"))
     return t.map_arrow(ready, _difference, f"_id {kinds[0]}, _url {kinds[1]}, text string, n_deleted long").select(F.col("_id").alias(id), F.col("_url").alias(url), "text", "n_deleted")
 
 

@@ -76,3 +76,16 @@ def test_main_text_equals_brute_force(spark, ranges):
 
 def test_empty(spark):
     assert p.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_runs_of_copies_are_bridged(spark, ranges):
+    """Inner pages of a run of copies are compared with the pages beyond it."""
+    page = lambda *own: "".join(f"<p>{x}" for x in ("menu a", *own, "menu b"))
+    rows = [(0, "http://a.com/a", page("first", "page"))]
+    rows += [(k, f"http://a.com/c?{k}", page("copied", "text", "here")) for k in range(1, 60)]
+    rows += [(60, "http://a.com/d", page("last", "page")), (61, "http://b.com/c", page("copied", "text", "here"))]
+    got = {r.page_id: r for r in p.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ranges=ranges).collect()}
+    assert len(got) == 62 and all(got[k].text == "copied\ntext\nhere" and got[k].n_deleted == 2 for k in range(1, 60))
+    assert got[0].text == "first\npage" and got[60].text == "last\npage"
+    assert got[61].n_deleted == 0
