@@ -239,7 +239,7 @@ def _pass(spark: SparkSession, docs: DataFrame, schema: T.StructType, text: str,
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_span: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with all their columns, less every covered span of at least max_span words (from its first
-    word to its last), and less the rows of which more than max_coverage of the words are covered."""
+    word to its last), or of less than a window, which only whole short items cover, and less the rows of which more than max_coverage of the words are covered."""
     names = docs.columns
     docs, (text,) = t.renamed(docs, text)
     columns = docs.columns
@@ -257,7 +257,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
                 for r, pairs in enumerate(spans.to_pylist()):
                     raw = bytes(words.data[words.row_at[r] : words.row_at[r + 1]]) if pairs else b""
                     for a, b in reversed(list(zip(pairs[::2], pairs[1::2]))):
-                        if b - a >= max_span:
+                        if b - a >= max_span or b - a < window:
                             w = words.at[r]
                             raw = raw[: words.start[w + a] - words.row_at[r]] + raw[words.end[w + b - 1] - words.row_at[r] :]
                     if pairs:

@@ -29,7 +29,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of ten benchmark words or more are cut out; documents that are mostly such passages go."""
+    """Passages of ten benchmark words or more, and whole shorter items, are cut out; documents that are mostly such passages go."""
     return _counted(decontaminate.clean(docs, _text.table(spark, sf_dir, "benchmark")))
 
 

@@ -58,3 +58,9 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert d.hits(docs, none, ["doc_id"]).first()._words == 2
     assert d.hits(docs.limit(0), none, ["doc_id"]).count() == 0
+
+
+def test_clean_cuts_whole_short_items(spark):
+    docs = spark.createDataFrame([(1, "x one two Three. y one two z w", "s")], DOC)
+    items = spark.createDataFrame([("i", "One two three")], "item_id string, text string")
+    assert [r.text for r in d.clean(docs, items).collect()] == ["x . y one two z w"]
