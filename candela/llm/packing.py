@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import _text as t
 
 SIZE, GRAIN, END = 2048, 8, 1
-#: Words that a worker remembers.
+#: Words of a worker's memory when it begins the next of its two generations.
 REMEMBERED = 200_000
 #: Ids never reach over a change between these two classes: ASCII letters and digits, and ASCII
 #: punctuation but the apostrophe (which may begin a contraction).
@@ -61,22 +61,49 @@ class Coder:
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        # of a vocabulary that marks the ends of words: which ids are such ends
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[k for x, k in vocab.items() if x.endswith("</w>")]] = True
+
+    def _split(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), self.kind), np.cumsum([0, *map(len, ids)]).tolist()
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
-        at = (np.cumsum([0, *map(len, ids)]) * self.kind().itemsize).tolist()
-        return [flat[a:b] for a, b in zip(at, at[1:])]
+        """Words of letters are tokenised as one text, and told apart by the ids that end a word, if
+        there are as many of these as words; all others are texts of their own."""
+        letters = list(map(str.isalpha, words))
+        joined = list(compress(words, letters)) if self.ends.any() else []
+        flat, _ = self._split([" ".join(joined[a : a + 500]) for a in range(0, len(joined), 500)])
+        at = np.append(0, np.flatnonzero(self.ends[flat]) + 1).tolist()
+        if len(at) != len(joined) + 1:
+            joined = []
+        if not joined:
+            letters = [False] * len(words)
+        apart, spots = self._split([w for w, x in zip(words, letters) if not x])
+        one, two = flat.tobytes(), apart.tobytes()
+        size = self.kind().itemsize
+        known, rest = (iter([raw[a * size : b * size] for a, b in zip(x, x[1:])]) for raw, x in ((one, at), (two, spots)))
+        return [next(known) if x else next(rest) for x in letters]
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
+        """From memory where known. Two generations: words of the older one are taken over as they occur."""
         out = list(map(self.known.get, words))
-        new = [k for k, x in enumerate(out) if x is None]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
+        new = []
+        for k in [k for k, x in enumerate(out) if x is None]:
+            x = self.before.get(words[k])
+            if x is None:
+                new.append(k)
+            else:
+                out[k] = self.known[words[k]] = x
         for a in range(0, len(new), 20_000):
             some = new[a : a + 20_000]
             for k, x in zip(some, self._encode([words[k].decode() for k in some])):
                 out[k] = self.known[words[k]] = x
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
