@@ -452,7 +452,6 @@ def _phase(x):
     n, phase = len(x), 0.0
     phases, means = np.zeros(n), np.zeros(n)
     back = np.concatenate((np.zeros(51), np.where(np.arange(n) >= 37, s, 0.0)))[::-1]  # newest first; bar t is at n - 1 - t
-    total = np.concatenate(([0.0], np.cumsum(x)))
     for t in range(37, n):
         size = int(smoothed[t] + 0.5)
         re = im = 0.0
@@ -473,7 +472,7 @@ def _phase(x):
         if phase > 315:
             phase -= 360
         phases[t] = phase
-        means[t] = (total[t + 1] - total[t - size + 1]) / size if 0 < size <= t + 1 else 0.0
+        means[t] = np.cumsum(x[t - size + 1 : t + 1])[-1] / size if 0 < size <= t + 1 else 0.0
     line = np.zeros(n)
     if n > 37:
         m = np.where(np.arange(n) >= 37, means, 0.0)

@@ -25,6 +25,11 @@ _PLAIN = ("ad", "avgprice", "bop", "medprice", "trange", "typprice", "wclprice")
 _MANY = {"bbands": (20, 2.0, 2.0, 0), "macd": (12, 26, 9), "stoch": (5, 3, 0, 3, 0), "aroon": (14,), "minmax": (20,), "mama": (0.5, 0.05), "ht_phasor": (), "ht_sine": ()}
 
 
+def flat_name(n: str, f: str) -> str:
+    """The column of an output field of an indicator with several."""
+    return f if f.startswith(n) or n in ("macd", "bbands", "stoch", "aroon", "mama") and f in ("macd", "mama", "fama", "slowk", "slowd", "aroon_up", "aroon_down") else f"{n}_{f}"
+
+
 def _null_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
@@ -43,7 +48,7 @@ def indicator_table(bars: DataFrame, partition: list[str], ts: str = "ts") -> Da
     if "volume" not in has:
         df = df.withColumn("ad", F.lit(None).cast("double"))
     fields = {n: ALL[n].out for n in _MANY}
-    flat = {(f if f.startswith(n) or n in ("macd", "bbands", "stoch", "aroon", "mama") and f in ("macd", "mama", "fama", "slowk", "slowd", "aroon_up", "aroon_down") else f"{n}_{f}"): F.col(f"_{n}")[f] for n, fs in fields.items() for f in fs}
+    flat = {flat_name(n, f): F.col(f"_{n}")[f] for n, fs in fields.items() for f in fs}
     frame = Frame(partition, [ts])
     c, v, before = F.col("close"), F.col("volume"), F.lag("close").over(frame.base)
     prior = F.avg("volume").over(frame.base.rowsBetween(-5, -1))

@@ -6,6 +6,7 @@ places, and never NaN. Recursive indicators are recursive common table expressio
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -142,16 +143,26 @@ def _scan_cte(name: str, source: str, seed_rows: int, seed: str, step: str) -> s
     return f", {name} AS ({first} UNION ALL SELECT s.symbol, s.i, {step} FROM {name} r JOIN {source} s ON s.symbol = r.symbol AND s.i = r.i + 1)"
 
 
+def _fold_cte(name: str, source: str, seed_rows: int, seed: str, step: str) -> str:
+    """The same as a fold of each symbol's list, which is quicker for long series."""
+    first = {"avg(v)": "list_avg(vs[1:{n}])", "sum(v)": "list_sum(vs[1:{n}])"}[seed].format(n=seed_rows)
+    step = step.replace("r.v", "a[-1]").replace("s.v", "x[1]")
+    return f", {name}_l AS (SELECT symbol, min(i) AS i0, list(v ORDER BY i) AS vs FROM {source} GROUP BY symbol HAVING count(*) >= {seed_rows}), {name} AS (SELECT symbol, i0 + {seed_rows} - 2 + unnest(range(1, len(f) + 1)) AS i, unnest(f) AS v FROM (SELECT symbol, i0, list_reduce(list_transform(list_concat([{first}], vs[{seed_rows + 1}:]), lambda x: [x]), lambda a, x: list_append(a, {step})) AS f FROM {name}_l))"
+
+
+_SCAN = [_scan_cte]
+
+
 def _ema(name: str, source: str, p: int) -> str:
-    return _scan_cte(name, source, p, "avg(v)", f"r.v + (s.v - r.v) * {2.0 / (p + 1)!r}")
+    return _SCAN[-1](name, source, p, "avg(v)", f"r.v + (s.v - r.v) * {2.0 / (p + 1)!r}")
 
 
 def _wilder(name: str, source: str, p: int) -> str:
-    return _scan_cte(name, source, p, "avg(v)", f"(r.v * {p - 1} + s.v) / {p}")
+    return _SCAN[-1](name, source, p, "avg(v)", f"(r.v * {p - 1} + s.v) / {p}")
 
 
 def _summed(name: str, source: str, p: int) -> str:
-    return _scan_cte(name, source, p - 1, "sum(v)", f"r.v - r.v / {p} + s.v")
+    return _SCAN[-1](name, source, p - 1, "sum(v)", f"r.v - r.v / {p} + s.v")
 
 
 def _recursive_sql(name: str) -> str | None:
@@ -199,8 +210,81 @@ def _macd_sql() -> str:
     return _fields(ctes, {"macd": "m", "signal": "g", "hist": "m - g"}, s + g - 2)
 
 
+# --- cycles: the discriminator is one recursion, the same arithmetic in the same order ---------------
+
+_DEGREES = repr(180.0 / math.pi)
+
+
+def _quadrature(value: str, lags: str) -> str:
+    return f"(0.0962e0 * {value} + 0.5769e0 * {lags}[2] - 0.5769e0 * {lags}[4] - 0.0962e0 * {lags}[6]) * adjust"
+
+
+def _cycle_ctes(begin: int) -> str:
+    """cy: symbol, t (bar from 0), x, s (smoothed price, 0 before `begin`), i1, q1 and sp of each bar from `begin` on."""
+    lag = lambda k: f"lag(close, {k}) OVER w"
+    ctes = f", sm AS (SELECT symbol, ts, i - 1 AS t, close AS x, CASE WHEN i > {begin} THEN coalesce((4 * close + 3 * {lag(1)} + 2 * {lag(2)} + {lag(3)}) / 10, 0) ELSE 0 END AS s FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts))"
+    ctes += ", sl AS (SELECT *, " + ", ".join(f"coalesce(lag(s, {k}) OVER w, 0) AS s{k}" for k in (2, 4, 6)) + " FROM sm WINDOW w AS (PARTITION BY symbol ORDER BY t))"
+    zeros = "[0e0, 0e0, 0e0, 0e0, 0e0, 0e0]"
+    ctes += f""", cy AS (
+  SELECT symbol, CAST({begin - 1} AS BIGINT) AS t, 0e0 AS x, 0e0 AS s, {zeros} AS dl, {zeros} AS ql, {zeros} AS il, 0e0 AS i1, 0e0 AS q1, 0e0 AS i2, 0e0 AS q2, 0e0 AS re, 0e0 AS im, 0e0 AS period, 0e0 AS sp FROM sm GROUP BY symbol
+  UNION ALL
+  SELECT symbol, t, x, s, list_prepend(d, dl[1:5]), list_prepend(q, ql[1:5]), list_prepend(i, il[1:5]), i, q, i2, q2, re, im, pd, 0.33e0 * pd + 0.67e0 * sp FROM (
+    SELECT *, 0.2e0 * (CASE WHEN p3 < 6 THEN 6e0 WHEN p3 > 50 THEN 50e0 ELSE p3 END) + 0.8e0 * period AS pd FROM (
+      SELECT *, CASE WHEN p2 < 0.67e0 * period THEN 0.67e0 * period ELSE p2 END AS p3 FROM (
+        SELECT *, CASE WHEN p1 > 1.5e0 * period THEN 1.5e0 * period ELSE p1 END AS p2 FROM (
+          SELECT *, CASE WHEN im <> 0 AND re <> 0 THEN 360 / (atan(im / re) * {_DEGREES}e0) ELSE period END AS p1 FROM (
+            SELECT *, 0.2e0 * (i2 * old_i + q2 * old_q) + 0.8e0 * old_re AS re, 0.2e0 * (i2 * old_q - q2 * old_i) + 0.8e0 * old_im AS im FROM (
+              SELECT *, 0.2e0 * (q + ji) + 0.8e0 * old_q AS q2, 0.2e0 * (i - jq) + 0.8e0 * old_i AS i2 FROM (
+                SELECT *, {_quadrature("i", "il")} AS ji, {_quadrature("q", "ql")} AS jq FROM (
+                  SELECT *, {_quadrature("d", "dl")} AS q, dl[3] AS i FROM (
+                    SELECT *, (0.0962e0 * s + 0.5769e0 * s2 - 0.5769e0 * s4 - 0.0962e0 * s6) * adjust AS d FROM (
+                      SELECT sl.symbol, sl.t, sl.x, sl.s, sl.s2, sl.s4, sl.s6, r.dl, r.ql, r.il, r.i2 AS old_i, r.q2 AS old_q, r.re AS old_re, r.im AS old_im, r.period, r.sp, 0.075e0 * r.period + 0.54e0 AS adjust
+                      FROM cy r JOIN sl ON sl.symbol = r.symbol AND sl.t = r.t + 1))))))))))
+)"""
+    return ctes
+
+
+def _phase_ctes() -> str:
+    """ph: phase and trend line of each bar. Before bar 38 there is no period, and nothing is given before bar 63."""
+    ctes = _cycle_ctes(37) + ", pw AS (SELECT symbol, t, x, s, sp, CAST(floor(sp + 0.5) AS BIGINT) AS size, list_reverse(list(s) OVER (PARTITION BY symbol ORDER BY t ROWS 50 PRECEDING)) AS sv FROM cy WHERE t >= 37)"
+    part = lambda f: f"coalesce(list_sum(list_transform(range(0, size), lambda k: {f}(k * 2 * pi() / size) * coalesce(sv[k + 1], 0))), 0)"
+    ctes += f", pr AS (SELECT *, {part('sin')} AS re, {part('cos')} AS im FROM pw)"
+    ctes += ", pc AS (SELECT symbol, list(close ORDER BY ts) AS xs FROM b GROUP BY symbol)"
+    ctes += f", pa AS (SELECT pr.*, (CASE WHEN abs(im) > 0 THEN atan(re / im) * {_DEGREES}e0 WHEN re < 0 THEN -90e0 WHEN re > 0 THEN 90e0 ELSE 0e0 END) + 90 + CASE WHEN sp <> 0 THEN 360 / sp ELSE 0 END + CASE WHEN im < 0 THEN 180 ELSE 0 END AS p0, CASE WHEN size > 0 THEN list_reduce(xs[t + 2 - size : t + 1], lambda a, x: a + x) / size ELSE 0 END AS mean FROM pr JOIN pc USING (symbol))"
+    lag = lambda k: f"coalesce(lag(mean, {k}) OVER w, 0)"
+    return ctes + f", ph AS (SELECT *, CASE WHEN p0 > 315 THEN p0 - 360 ELSE p0 END AS phase, (4 * mean + 3 * {lag(1)} + 2 * {lag(2)} + {lag(3)}) / 10 AS line FROM pa WINDOW w AS (PARTITION BY symbol ORDER BY t))"
+
+
+def _cycle_sql(name: str) -> str | None:
+    joined = lambda source: f", v AS (SELECT b.symbol, b.ts, b.i, c.* EXCLUDE (symbol, t) FROM b LEFT JOIN {source} c ON c.symbol = b.symbol AND c.t = b.i - 1)"
+    if name == "ht_dcperiod":
+        return _fields(_cycle_ctes(12) + joined("cy"), {"value": "sp"}, 32)
+    if name == "ht_phasor":
+        return _fields(_cycle_ctes(12) + joined("cy"), dict(zip(ALL[name].out, ("i1", "q1"))), 32)
+    if name == "mama":
+        fast, slow = params_of(name)
+        ctes = _cycle_ctes(12) + f", mp AS (SELECT symbol, t, x, CASE WHEN i1 <> 0 THEN atan(q1 / i1) * {_DEGREES}e0 ELSE 0 END AS phase FROM cy WHERE t >= 12)"
+        ctes += ", md AS (SELECT *, greatest(coalesce(lag(phase) OVER (PARTITION BY symbol ORDER BY t), 0) - phase, 1) AS delta FROM mp)"
+        ctes += f", mx AS (SELECT *, CASE WHEN delta > 1 THEN greatest({fast}e0 / delta, {slow}e0) ELSE {fast}e0 END AS alpha FROM md)"
+        ctes += ", ma AS (SELECT symbol, CAST(11 AS BIGINT) AS t, 0e0 AS m, 0e0 AS f FROM mx GROUP BY symbol UNION ALL SELECT symbol, t, m, 0.5e0 * alpha * m + (1 - 0.5e0 * alpha) * f FROM (SELECT mx.symbol, mx.t, mx.alpha, mx.alpha * mx.x + (1 - mx.alpha) * r.m AS m, r.f FROM ma r JOIN mx ON mx.symbol = r.symbol AND mx.t = r.t + 1))"
+        return _fields(ctes + joined("ma"), dict(zip(ALL[name].out, ("m", "f"))), 32)
+    if name in ("ht_dcphase", "ht_trendline"):
+        return _fields(_phase_ctes() + joined("ph"), {"value": "phase" if name == "ht_dcphase" else "line"}, 63)
+    if name == "ht_sine":
+        return _fields(_phase_ctes() + joined("ph"), dict(zip(ALL[name].out, ("sin(radians(phase))", "sin(radians(phase) + pi() / 4)"))), 63)
+    if name == "ht_trendmode":
+        now = f"sin(phase / {_DEGREES}e0) AS one, sin((phase + 45) / {_DEGREES}e0) AS two"
+        ctes = _phase_ctes() + f", tn AS (SELECT *, {now}, phase - coalesce(lag(phase) OVER w, 0) AS step FROM ph WINDOW w AS (PARTITION BY symbol ORDER BY t))"
+        ctes += ", to_ AS (SELECT *, coalesce(lag(one) OVER w, 0) AS one_, coalesce(lag(two) OVER w, 0) AS two_ FROM tn WINDOW w AS (PARTITION BY symbol ORDER BY t))"
+        ctes += ", tc AS (SELECT *, (one > two AND one_ <= two_) OR (one < two AND one_ >= two_) AS crossed FROM to_)"
+        ctes += ", td AS (SELECT *, t - coalesce(max(CASE WHEN crossed THEN t END) OVER (PARTITION BY symbol ORDER BY t), 37) + 1 AS days FROM tc)"
+        ctes += ", tm AS (SELECT *, CASE WHEN line <> 0 AND abs((s - line) / line) >= 0.015e0 THEN 1 WHEN crossed OR days < 0.5e0 * sp OR (sp <> 0 AND 0.67e0 * 360 / sp < step AND step < 1.5e0 * 360 / sp) THEN 0 ELSE 1 END AS mode FROM td)"
+        return f"{BARS}{ctes}{joined('tm')} SELECT symbol, ts, CASE WHEN i > 63 THEN CAST(mode AS INTEGER) END AS value FROM v"
+    return None
+
+
 for _n in ALL:
-    _text = _local_sql(_n) or _many_sql(_n) or _recursive_sql(_n) or (_macd_sql() if _n == "macd" else None)
+    _text = _local_sql(_n) or _many_sql(_n) or _recursive_sql(_n) or (_macd_sql() if _n == "macd" else _cycle_sql(_n))
     if _text:
         SQL[f"window_{_n}"] = _text
 
@@ -280,11 +364,6 @@ def _minutes(spark, sf_dir):
     return bars.from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), "minute")
 
 
-def _trading_minutes(spark, sf_dir):
-    """Minute bars of the events in trading minutes, as the SQL of aligned_local has them."""
-    return _minutes(spark, sf_dir).where(market.Calendar().trading_minute(F.col("ts")))
-
-
 def _aligned_query(names: list[str], source: Query) -> Query:
     def query(spark, sf_dir):
         df = source(spark, sf_dir)
@@ -294,7 +373,7 @@ def _aligned_query(names: list[str], source: Query) -> Query:
     return query
 
 
-QUERIES["aligned_local"] = _aligned_query(ALIGNED_LOCAL, _trading_minutes)
+QUERIES["aligned_local"] = _aligned_query(ALIGNED_LOCAL, _minutes)
 QUERIES["aligned_recursive"] = _aligned_query([n for n in aligned.aligned_names() if n not in ALIGNED_LOCAL], _minutes)
 _HOLIDAYS = ", ".join(f"DATE '{d}'" for d in market.BUILT_IN)
 _MINUTE = "(isodow({t}) < 6 AND CAST({t} AS DATE) NOT IN ({h}) AND (hour({t}) * 60 + minute({t}) BETWEEN 571 AND 690 OR hour({t}) * 60 + minute({t}) BETWEEN 781 AND 897 OR hour({t}) * 60 + minute({t}) = 900))"
@@ -304,13 +383,14 @@ def _trading(t: str) -> str:
     return _MINUTE.format(t=t, h=_HOLIDAYS)
 
 
-_ALIGNED_BARS = f"""WITH r AS (
+# the bars of all events: the calendar rules only what is filled in
+_ALL_BARS = f"""WITH RECURSIVE zr AS (
   SELECT event_type AS symbol, date_trunc('minute', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume
-  FROM events WHERE {_trading('ts')} GROUP BY 1, 2
-), g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 MINUTE)) AS ts FROM r GROUP BY symbol),
-m AS (SELECT g.symbol, g.ts, r.ts IS NOT NULL AS real, r.open, r.high, r.low, r.close, r.volume FROM g LEFT JOIN r ON r.symbol = g.symbol AND r.ts = g.ts WHERE r.ts IS NOT NULL OR {_trading('g.ts')}),
-f AS (SELECT symbol, ts, real, coalesce(volume, 0) AS volume, {", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) AS {c}" for c in ("open", "high", "low", "close"))} FROM m),
-b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS c1 FROM f)"""
+  FROM events GROUP BY 1, 2
+), zg AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 MINUTE)) AS ts FROM zr GROUP BY symbol),
+zm AS (SELECT zg.symbol, zg.ts, zr.ts IS NOT NULL AS real, zr.open, zr.high, zr.low, zr.close, zr.volume FROM zg LEFT JOIN zr ON zr.symbol = zg.symbol AND zr.ts = zg.ts WHERE zr.ts IS NOT NULL OR {_trading('zg.ts')}),
+zf AS (SELECT symbol, ts, real, coalesce(volume, 0) AS volume, {", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts) AS {c}" for c in ("open", "high", "low", "close"))} FROM zm),
+b AS (SELECT *, row_number() OVER w AS i, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1 FROM zf WINDOW w AS (PARTITION BY symbol ORDER BY ts))"""
 
 
 def _aligned_sql() -> str:
@@ -321,11 +401,33 @@ def _aligned_sql() -> str:
         body = SQL[f"window_{n}"].removeprefix(head)
         columns.append(f"CASE WHEN i > {ALL[n].lookback(*params_of(n))} THEN {body.split(' AS e FROM s)')[0]} END AS \"e_{n}\"")
     values = ", ".join(f'{_sql_rounded(f"e_{n}")} AS "{n}"' for n in ALIGNED_LOCAL)
-    return f"{_ALIGNED_BARS}, v AS (SELECT *, {', '.join(columns)} FROM b) SELECT symbol, ts, {values} FROM v WHERE real"
+    return f"{_ALL_BARS}, v AS (SELECT *, {', '.join(columns)} FROM b) SELECT symbol, ts, {values} FROM v WHERE real"
 
 
 SQL["aligned_local"] = _aligned_sql()
 
+def _retold(name: str, head: str, params: tuple | None = None) -> str:
+    """The SQL of a window query over other bars, with other parameters, scans as folds."""
+    old = PARAMS.get(name)
+    _SCAN.append(_fold_cte)
+    if params is not None:
+        PARAMS[name] = params
+    try:
+        text = _local_sql(name) or _many_sql(name) or _recursive_sql(name) or (_macd_sql() if name == "macd" else _cycle_sql(name))
+    finally:
+        _SCAN.pop()
+        PARAMS.pop(name, None)
+        if old is not None:
+            PARAMS[name] = old
+    return text.replace(BARS, head)
+
+
+_names = [n for n in aligned.aligned_names() if n not in ALIGNED_LOCAL]
+SQL["aligned_recursive"] = (
+    "SELECT * FROM (SELECT DISTINCT event_type AS symbol, date_trunc('minute', ts) AS ts FROM events)"
+    + "".join(f' JOIN (SELECT symbol, ts, value AS "{n}" FROM ({_retold(n, _ALL_BARS)})) USING (symbol, ts)' for n in _names)
+)
+
 # --- statistics -------------------------------------------------------------------------------------
 
 
@@ -373,6 +475,51 @@ def stats_scans(spark, sf_dir):
 QUERIES["stats_scans"] = stats_scans
 
 
+def _warp_sql(name: str, source: str, band: int, path: bool = False) -> str:
+    """Time warping of the lists a and b of (key, a, b): cells by their diagonals i + j = k, kept by i - j;
+    with the places j - i along the best way, if asked for."""
+    slots, mid = 2 * band + 1, band + 1
+    at = f"o - {mid}"
+    i, j = f"((k + {at}) // 2)", f"((k - ({at})) // 2)"
+    cell = lambda o: f"coalesce(c[{o}], 'infinity'::DOUBLE)"
+    fresh = f"(k + {at}) % 2 = 0"
+    inside = f"{i} BETWEEN 1 AND len(a) AND {j} BETWEEN 1 AND len(b)"
+    before = f"CASE WHEN o > 1 THEN {cell('o - 1')} ELSE 'infinity'::DOUBLE END"
+    costs = f"list_transform(range(1, {slots + 1}), lambda o: CASE WHEN NOT ({fresh}) THEN c[o] WHEN {inside} THEN abs(a[{i}] - b[{j}]) + least(c[o], {before}, {cell('o + 1')}) ELSE 'infinity'::DOUBLE END)"
+    came = f"CASE WHEN c[o] <= {before} AND c[o] <= {cell('o + 1')} THEN p[o] WHEN {before} <= {cell('o + 1')} THEN p[o - 1] ELSE p[o + 1] END"
+    paths = f", list_transform(range(1, {slots + 1}), lambda o: CASE WHEN NOT ({fresh}) THEN p[o] WHEN {inside} THEN list_append({came}, {j} - {i}) ELSE [] END) AS p" if path else ""
+    begin = f", list_transform(range(1, {slots + 1}), lambda o: CAST([] AS BIGINT[])) AS p" if path else ""
+    return f""", {name} AS (
+  SELECT key, a, b, CAST(0 AS BIGINT) AS k, list_transform(range(1, {slots + 1}), lambda o: CASE WHEN o = {mid} THEN 0e0 ELSE 'infinity'::DOUBLE END) AS c{begin} FROM {source}
+  UNION ALL
+  SELECT key, a, b, k, {costs}{paths} FROM (SELECT key, a, b, k + 1 AS k, c{", p" if path else ""} FROM {name} WHERE k < len(a) + len(b))
+)"""
+
+
+_SCANNED = """, n AS (SELECT symbol, count(*) AS n FROM b GROUP BY symbol), z AS (SELECT *, (close / 1000e0 - 0.5) / 100 AS r, CASE WHEN close > 0 AND c1 > 0 THEN ln(close / c1) END AS e FROM b JOIN n USING (symbol)),
+ew AS (SELECT symbol, sqrt(sum((1 - 0.94e0) * close * close * pow(0.94e0, n - i))) AS ewma_vol FROM z GROUP BY symbol),
+na AS (SELECT *, product(1 + r) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS nav FROM z),
+pk AS (SELECT *, greatest(1, max(nav) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING)) AS peak FROM na),
+ca AS (SELECT symbol, avg(r) * 252 / max((peak - nav) / peak) AS calmar FROM pk GROUP BY symbol),
+nw AS (SELECT symbol, i, close >= coalesce(max(close) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), close) AS new FROM b),
+du AS (SELECT symbol, CAST(max(i - spot) AS DOUBLE) AS drawdown_duration FROM (SELECT symbol, i, max(CASE WHEN new THEN i END) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spot FROM nw) GROUP BY symbol),
+re AS (SELECT symbol, e, row_number() OVER (PARTITION BY symbol ORDER BY i) AS k, count(*) OVER (PARTITION BY symbol) AS m, var_samp(e) OVER (PARTITION BY symbol) AS s2 FROM z WHERE e IS NOT NULL),
+ga AS (SELECT symbol, sqrt(any_value(s2) * pow(0.9e0, any_value(m)) + sum(((1 - 0.05e0 - 0.9e0) * s2 + 0.05e0 * e * e) * pow(0.9e0, m - k))) * sqrt(252) AS garch_vol FROM re GROUP BY symbol),
+li AS (SELECT symbol, regr_slope(volume, close) AS s, regr_intercept(volume, close) AS t FROM b GROUP BY symbol),
+er AS (SELECT symbol, i, volume - t - s * close AS u FROM b JOIN li USING (symbol)),
+dl AS (SELECT symbol, u - lag(u) OVER w AS d, lag(u) OVER w AS l FROM er WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+dr AS (SELECT symbol, regr_slope(d, l) AS s, regr_intercept(d, l) AS t, regr_sxx(d, l) AS sxx FROM dl WHERE l IS NOT NULL GROUP BY symbol),
+co AS (SELECT symbol, any_value(s) / sqrt(sum(pow(d - t - s * l, 2)) / (count(*) - 2) / any_value(sxx)) AS coint FROM dl JOIN dr USING (symbol) WHERE l IS NOT NULL GROUP BY symbol),
+ka AS (SELECT symbol, i, close AS x, 1e0 AS p FROM b WHERE i = 1 UNION ALL SELECT symbol, i, x + g * (v - x), (1 - g) * p FROM (SELECT s.symbol, s.i, s.close AS v, r.x, r.p + 0.01e0 AS p, (r.p + 0.01e0) / (r.p + 0.01e0 + 1e0) AS g FROM ka r JOIN b s ON s.symbol = r.symbol AND s.i = r.i + 1)),
+kl AS (SELECT symbol, arg_max(x, i) AS kalman_last FROM ka GROUP BY symbol),
+wl AS (SELECT symbol AS key, list(close ORDER BY i) AS a, list(open ORDER BY i) AS b FROM b GROUP BY symbol)"""
+_MOMENTS = """, mo AS (SELECT symbol, covar_samp(close, volume) AS yv, covar_samp(close, open) AS yo, covar_samp(volume, open) AS vo, var_samp(volume) AS vv, var_samp(open) AS oo, var_samp(close) AS yy, arg_max(close, i) AS last, avg(close) AS m, stddev_pop(close) AS sd FROM b GROUP BY symbol),
+al AS (SELECT *, (yv * oo - yo * vo) / (vv * oo - vo * vo) AS ols_first, (yy + vv) / 2 + sqrt(pow((yy - vv) / 2, 2) + yv * yv) AS pca_largest, (last - m) / sd AS resample_last FROM mo JOIN ew USING (symbol) JOIN ca USING (symbol) JOIN du USING (symbol) JOIN ga USING (symbol) JOIN co USING (symbol) JOIN kl USING (symbol)
+  JOIN (SELECT key AS symbol, c[11] AS dtw FROM wa WHERE k = len(a) + len(b)) USING (symbol) JOIN rs USING (symbol))"""
+SQL["stats_scans"] = f"""{BARS}{_SCANNED}{_warp_sql("wa", "wl", 10)}, rs AS (SELECT symbol, arg_max(value, ts) AS rsi FROM ({SQL["window_rsi"]}) GROUP BY symbol){_MOMENTS}
+SELECT symbol, {", ".join(f"{_sql_rounded(c)} AS {c}" for c in ("ewma_vol", "calmar", "drawdown_duration", "garch_vol", "coint", "rsi", "kalman_last", "dtw", "ols_first", "pca_largest", "resample_last"))} FROM al"""
+
+
 def rolling_stats(spark, sf_dir):
     w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(-19, 0)
     names = ("avg", "sum", "min", "max", "momentum", "rolling_var", "rolling_stddev", "rolling_beta", "rolling_corr")
@@ -432,13 +579,56 @@ def wide_table(spark, sf_dir):
 def shape_search(spark, sf_dir):
     """Days whose hourly closes go like a rise and a fall."""
     daily = series.ordered_lists(_bars(spark, sf_dir).withColumn("day", F.concat_ws(" ", "symbol", F.col("ts").cast("date"))), ["day"], "ts", ["close"])
-    found = shapes.nearest_shapes(daily, "day", "close", [0, 1, 2, 3, 4, 3, 2, 1, 0], candidates=20, top=10)
+    found = shapes.nearest_shapes(daily, "day", "close", [0, 1, 2, 3, 4, 3, 2, 1, 0], top=10)
     return found.select("day", *[rounded(c).alias(c) for c in ("cosine", "distance", "similarity")], "lag")
 
 
 QUERIES |= {"wide_table": wide_table, "shape_search": shape_search}
 
 
+def _wide_sql() -> str:
+    """Every column of the wide table: the window queries with its parameters, and aggregates."""
+    parts = [(f"{n}{p}", n, (p,)) for n, ps in wide._PERIODS.items() for p in ps] + [(n, n, ()) for n in wide._PLAIN]
+    joins = [f'(SELECT symbol, ts, value AS "{c}" FROM ({_retold(n, BARS, ps)}))' for c, n, ps in parts]
+    joins += ["(SELECT symbol, ts, " + ", ".join(f'"{f}" AS "{wide.flat_name(n, f)}"' for f in ALL[n].out) + f" FROM ({_retold(n, BARS, ps)}))" for n, ps in wide._MANY.items()]
+    names = [c for c, _, _ in parts] + [wide.flat_name(n, f) for n in wide._MANY for f in ALL[n].out]
+    prior, w20 = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)", _w(20)
+    rows = {
+        "pct_change": "CASE WHEN abs(c1) >= 1e-12 THEN (close - c1) / c1 END",
+        "volume_ratio": f"CASE WHEN count(volume) {prior} = 5 AND abs(avg(volume) {prior}) >= 1e-12 THEN volume / avg(volume) {prior} END",
+        "roll_momentum": f"CASE WHEN i >= 20 AND abs(lag(close, 19) OVER (PARTITION BY symbol ORDER BY ts)) >= 1e-12 THEN (close - lag(close, 19) OVER (PARTITION BY symbol ORDER BY ts)) / abs(lag(close, 19) OVER (PARTITION BY symbol ORDER BY ts)) END",
+    } | {f"roll_{c}": f"CASE WHEN i >= 20 THEN {e} {w20} END" for c, e in (("avg", "avg(close)"), ("sum", "sum(close)"), ("var", "var_samp(close)"), ("stddev", "stddev_samp(close)"), ("min", "min(low)"), ("max", "max(high)"))}
+    whole = {
+        "stat_var": "var_samp(close)", "stat_stddev": "stddev_samp(close)", "stat_skew": "sum(pow(close - m, 3)) / count(*) / pow(var_pop(close), 1.5)", "stat_kurtosis": "sum(pow(close - m, 4)) / count(*) / pow(var_pop(close), 2) - 3",
+        "stat_max_drawdown": "max(CASE WHEN peak > 0 THEN (peak - close) / peak END)", "stat_sharpe": "avg(r) / stddev_samp(r) * sqrt(252)", "stat_annual_vol": "stddev_samp(r) * sqrt(252)", "stat_corr_close_vol": "corr(close, volume)", "stat_beta": "regr_slope(close, volume)",
+        "stat_regress_slope": "regr_slope(close, volume)", "stat_regress_intercept": "regr_intercept(close, volume)", "stat_regress_r2": "pow(corr(close, volume), 2)", "stat_regress_std_err": "sqrt(var_pop(close) * count(*) * (1 - pow(corr(close, volume), 2)) / (count(*) - 2) / (var_pop(volume) * count(*)))", "stat_trend_strength": "pow(corr(close, i), 2)",
+    }
+    values = lambda x: ", ".join(f"{_sql_rounded(e)} AS {c}" for c, e in x.items())
+    inner = f"SELECT *, CASE WHEN close > 0 AND c1 > 0 THEN ln(close / c1) END AS r, max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS peak, avg(close) OVER (PARTITION BY symbol) AS m FROM b"
+    text = f"{BARS}, rw AS (SELECT symbol, ts, open, high, low, close, volume, {', '.join(f'{e} AS _{c}' for c, e in rows.items())} FROM b), wh AS (SELECT symbol, {', '.join(f'{e} AS _{c}' for c, e in whole.items())} FROM ({inner}) GROUP BY symbol)"
+    text += f" SELECT symbol, ts, open, high, low, close, volume, {values({c: f'_{c}' for c in [*rows, *whole]})}, " + ", ".join(f'"{c}"' for c in names)
+    return text + " FROM rw JOIN wh USING (symbol)" + "".join(f" JOIN {j} USING (symbol, ts)" for j in joins)
+
+
+SQL["wide_table"] = _wide_sql()
+_POINTS = 32
+
+
+def _resampled(x: str) -> str:
+    """The z-scores of a list, interpolated at _POINTS points; null for a list without a spread."""
+    z = f"list_transform({x}, lambda v: (v - list_avg({x})) / nullif(list_stddev_pop({x}), 0))"
+    place = f"CAST(k AS DOUBLE) * (len({x}) - 1) / {float(_POINTS - 1)}"
+    low = f"least(CAST(floor({place}) AS BIGINT), len({x}) - 2)"
+    at = lambda e: f"(({x}[{e}] - list_avg({x})) / list_stddev_pop({x}))"
+    return f"CASE WHEN len({x}) >= 2 AND list_stddev_pop({x}) > 0 THEN CASE WHEN len({x}) = {_POINTS} THEN {z} ELSE list_transform(range(0, {_POINTS}), lambda k: {at(f'{low} + 1')} + ({at(f'{low} + 2')} - {at(f'{low} + 1')}) * ({place} - {low})) END END"
+
+
+SQL["shape_search"] = f"""{BARS}, days AS (SELECT symbol || ' ' || CAST(CAST(ts AS DATE) AS VARCHAR) AS key, list(close ORDER BY ts) AS x FROM b GROUP BY 1),
+sh AS (SELECT * FROM (SELECT key, {_resampled('x')} AS a, (SELECT {_resampled('t')} FROM (SELECT [0e0, 1, 2, 3, 4, 3, 2, 1, 0] AS t)) AS b FROM days) WHERE a IS NOT NULL){_warp_sql("wa", "sh", _POINTS, True)},
+fi AS (SELECT key, list_cosine_similarity(a, b) AS cosine, c[{_POINTS + 1}] AS distance, CAST(list_sort(p[{_POINTS + 1}])[len(p[{_POINTS + 1}]) // 2 + 1] AS INTEGER) AS lag FROM wa WHERE k = {2 * _POINTS})
+SELECT key AS day, {_sql_rounded('cosine')} AS cosine, {_sql_rounded('distance')} AS distance, {_sql_rounded(f'(1 / (1 + distance / {2 * _POINTS}))')} AS similarity, lag FROM fi ORDER BY fi.distance, key LIMIT 10"""
+
+
 def first_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars and their moving average."""
     out = windowed.with_indicators(_bars(spark, sf_dir), [request("sma5", "sma", 5)], ["symbol"], ["ts"], skip_nulls=False)
