@@ -31,14 +31,18 @@ def params_of(name: str) -> tuple:
     return PARAMS.get(name) or tuple(14 for _ in ALL[name].params)
 
 
-def rounded(c: Column | str) -> Column:
+#: Means of prices with two decimals end in a five at the seventh place now and then; engines round that differently.
+PLACES = {"ht_trendline": 9}
+
+
+def rounded(c: Column | str, places: int = 6) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     c = F.when(~F.isnan(c), c)
-    return F.round(c, 6) + F.lit(0.0)
+    return F.round(c, places) + F.lit(0.0)
 
 
-def _sql_rounded(e: str) -> str:
-    return f"round(CASE WHEN isfinite({e}) THEN {e} END, 6) + 0.0"
+def _sql_rounded(e: str, places: int = 6) -> str:
+    return f"round(CASE WHEN isfinite({e}) THEN {e} END, {places}) + 0.0"
 
 
 def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def _outputs(df: DataFrame, name: str) -> DataFrame:
     ind = ALL[name]
     if ind.out:
         return df.select("symbol", "ts", *[rounded(F.col("value")[f]).alias(f) for f in ind.out])
-    return df.select("symbol", "ts", "value" if ind.integer else rounded("value").alias("value"))
+    return df.select("symbol", "ts", "value" if ind.integer else rounded("value", PLACES.get(name, 6)).alias("value"))
 
 
 def _window_query(name: str) -> Query:
@@ -117,8 +121,8 @@ def _local_sql(name: str) -> str | None:
     return None
 
 
-def _fields(ctes: str, columns: dict[str, str], lookback: int) -> str:
-    return f"{BARS}{ctes} SELECT symbol, ts, " + ", ".join(f"CASE WHEN i > {lookback} THEN {_sql_rounded(e)} END AS {n}" for n, e in columns.items()) + " FROM v"
+def _fields(ctes: str, columns: dict[str, str], lookback: int, places: int = 6) -> str:
+    return f"{BARS}{ctes} SELECT symbol, ts, " + ", ".join(f"CASE WHEN i > {lookback} THEN {_sql_rounded(e, places)} END AS {n}" for n, e in columns.items()) + " FROM v"
 
 
 def _many_sql(name: str) -> str | None:
@@ -269,7 +273,7 @@ def _cycle_sql(name: str) -> str | None:
         ctes += ", ma AS (SELECT symbol, CAST(11 AS BIGINT) AS t, 0e0 AS m, 0e0 AS f FROM mx GROUP BY symbol UNION ALL SELECT symbol, t, m, 0.5e0 * alpha * m + (1 - 0.5e0 * alpha) * f FROM (SELECT mx.symbol, mx.t, mx.alpha, mx.alpha * mx.x + (1 - mx.alpha) * r.m AS m, r.f FROM ma r JOIN mx ON mx.symbol = r.symbol AND mx.t = r.t + 1))"
         return _fields(ctes + joined("ma"), dict(zip(ALL[name].out, ("m", "f"))), 32)
     if name in ("ht_dcphase", "ht_trendline"):
-        return _fields(_phase_ctes() + joined("ph"), {"value": "phase" if name == "ht_dcphase" else "line"}, 63)
+        return _fields(_phase_ctes() + joined("ph"), {"value": "phase" if name == "ht_dcphase" else "line"}, 63, PLACES.get(name, 6))
     if name == "ht_sine":
         return _fields(_phase_ctes() + joined("ph"), dict(zip(ALL[name].out, ("sin(radians(phase))", "sin(radians(phase) + pi() / 4)"))), 63)
     if name == "ht_trendmode":
@@ -312,7 +316,7 @@ def _list_query(names: list[str]) -> Query:
         out = []
         for n in names:
             ind = ALL[n]
-            out += [rounded(F.col(n)[f]).alias(f"{n}_{f}") for f in ind.out] if ind.out else [F.col(n) if ind.integer else rounded(n).alias(n)]
+            out += [rounded(F.col(n)[f]).alias(f"{n}_{f}") for f in ind.out] if ind.out else [F.col(n) if ind.integer else rounded(n, PLACES.get(n, 6)).alias(n)]
         return rows.select("symbol", "ts", *out)
 
     return query
