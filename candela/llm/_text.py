@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -170,8 +171,10 @@ def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset as in tests, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset in local mode as in tests, one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
     if not at:
         import atexit
         import shutil
@@ -196,15 +199,37 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    small: few rows beside the input, from many tasks; they are dealt out to as many files as cores.
+    Files are what writing costs most there: each makes a local file system start a process.
+    """
     spark = df.sparkSession
+    if small:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark)}/candela/{name}-{uuid.uuid4().hex}"
     TABLES.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieve(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose value may be among the keys (one column of the same type): all that are, and few others.
+
+    Keys are marked in a bitmap of eight bits each or more, 16 MB at most, which is broadcast; beyond that
+    more of the other rows pass. So a join with the keys afterwards has less to shuffle, and stays exact.
+    """
+    size = 1 << max(15, min(27, (8 * keys.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size)) + 1
+    at = place(F.col(keys.columns[0]))
+    marks = keys.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+    bit = F.bitmap_bit_position(place(F.col(column)))
+    byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = df.withColumn("_bucket", F.bitmap_bucket_number(place(F.col(column)))).join(F.broadcast(marks), "_bucket")
+    return joined.where(F.getbit(byte.cast("long"), (bit % 8).cast("int")) == 1).select(*df.columns)
+
+
 def renamed(df: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
     """df with columns c0, c1, ..., so that none clashes with a name of our own, and the new names of `named`."""
     at = {c: f"c{k}" for k, c in enumerate(df.columns)}

@@ -7,10 +7,11 @@ minima), and ranks stop as soon as no register of the row can still fall. Bands
 compared by equality; candidate pairs are confirmed on the full sets, exactly.
 
 Within a bucket no pairs are listed. Each member is confirmed against one pivot, and linked members
-fall into components. The members of buckets that then hold several components are grouped by the
-buckets they share, and within a group each set is compared with all sets of other components at
-once, by the postings of its shingles, in blocks of bounded size. So each pair that shares a band
-ends in one component or has been compared. Rows of equal sets are one node.
+fall into components. In buckets that then hold several components (of buckets with the same members,
+by count and two 64-bit sums, in one) each set is compared with all sets of other components at once,
+by the postings of its shingles, in blocks of bounded size. So each pair that shares a band ends in
+one component or has been compared. Rows of equal sets are one node. Elements draw their permutation
+from a shared table of 4096.
 
 At the threshold itself a pair shares no band with probability (1 - 0.8^rows)^bands, 5e-6 for 40
 bands of 6; there is no cap on buckets, partners or candidates.
@@ -20,10 +21,12 @@ them all; null, empty and blank texts have an empty set, are linked with nothing
 component. Rows that repeat an id count as one node each set, joined by the id. A null id is never
 linked; its component is null and it is kept. Other columns are not read.
 
-Scale: a signature is 40 band keys per distinct set; texts are shuffled once, and only sets of
-candidates are written. Components come from large-star and small-star steps over the confirmed
-links, each step a table in the shared folder. Hot buckets and groups of copies are pre-aggregated
-or split by the skew join.
+Scale: a signature is 40 band keys per distinct set. Keys are aggregated to those that occur in two
+sets or more, a small table that band rows are then joined with; texts are shuffled once, and only
+where the candidates are too many to broadcast (Spark's size check). Components come from large-star
+and small-star steps over links that each task has contracted by itself, each step a table in the
+shared folder. Hot buckets and groups of copies are pre-aggregated or split by the skew join. Ids must
+be whole numbers.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _text as t
 
@@ -137,24 +141,50 @@ def _full_sets(k: int):
     return run
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """Links are few beside the texts: as many tasks as cores do."""
-    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+def _contract(batches):
+    """Links of a task joined to their least nodes, as far as that task can tell: fewer steps are left."""
+    held, size = [], 0
+
+    def stars():
+        a, b = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        nodes, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        x, y = place[: len(a)], place[len(a) :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[x], label[y])
+            if (low == label[x]).all() and (low == label[y]).all():
+                break
+            for side in (x, y):
+                np.minimum.at(label, label[side], low)
+                np.minimum.at(label, side, low)
+            label = label[label]
+        own = label != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], ["u", "v"])
+
+    for batch in batches:
+        held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+        size += batch.num_rows
+        if size >= 1 << 20:
+            yield stars()
+            held, size = [], 0
+    if size:
+        yield stars()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for links (a, b): the least node that each is joined to, by large-star and small-star steps."""
-    edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = t.map_arrow(links.where("a != b").select("a", "b"), _contract, "u long, v long")
+    edges = t.stored(edges, "edges", small=True)
     while True:
+        # all stars: no centre is joined to a lesser one
+        if edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = t.stored(_few(both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
+        large = both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = t.stored(_few(small.distinct()), "small")
-        # all stars: no centre is joined to a lesser one
-        if edges.select(F.col("v").alias("u")).distinct().join(edges, "u", "left_semi").isEmpty() and edges.groupBy("u").count().where("count > 1").isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        edges = t.stored(small.distinct(), "edges", small=True)
 
 
 def _group_links(ids: np.ndarray, label: np.ndarray, items: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -216,57 +246,59 @@ def _compare(percent: int):
     return run
 
 
-def _across(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets (_id, group, c, items) of a group and of different components c.
+def _across(items: DataFrame, open: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between rows (_id, c, group, n) of a group and of different components c.
 
     No pairs are listed: a group's sets meet in one task, or, where they hold more than BLOCK shingles,
     in blocks, each block with each other one.
     """
-    sets = sets.withColumn("n", F.size("items"))
-    blocks = sets.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    dealt = sets.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int"))
-    each = dealt.select("group", "_id", "c", "items", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = each.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "_id", "c", "items")
+    blocks = open.groupBy("group").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = open.join(blocks, "group").withColumn("own", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int"))
+    each = dealt.select("group", "_id", "c", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = each.join(items, "_id").select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "_id", "c", "items")
     rows = rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
     return t.map_arrow(rows, _compare(percent), "a long, b long")
 
 
 def link(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, component_id) of each row; sets are linked if 100 * intersection >= percent * union."""
+    if not isinstance(docs.schema[id].dataType, T.IntegralType):
+        raise TypeError(f"{id} must be a column of whole numbers")
     source = docs.select(F.col(id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     every = t.stored(t.map_arrow(source, _sketch(shingle, bands, rows), "_id long, n long, digest binary, bands array<long>"), "sketches")
     sets = every.where("n > 0 and _id is not null")
-    classes = sets.groupBy("digest").agg(F.min("_id").alias("rep"))
-    classes = t.stored(_few(classes), "classes")
-    nodes = sets.join(classes, (sets["digest"] == classes["digest"]) & (sets["_id"] == classes["rep"]), "left_semi").dropDuplicates(["_id", "digest"])
-    spread = nodes.select("_id", "digest", F.explode("bands").alias("key"))
-    full = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("pivot")).where("n > 1").drop("n")
-    members = t.stored(spread.join(full, "key"), "members")
-    names = members.select("_id", "digest").distinct()
-    items = t.stored(t.map_arrow(source.join(names, "_id"), _full_sets(shingle), "_id long, items array<long>"), "sets")
+    copies = t.stored(sets.groupBy("digest").agg(F.min("_id").alias("rep"), F.max("_id").alias("top")).where("rep < top").drop("top"), "copies", small=True)
+    nodes = sets.join(copies, "digest", "left").where("rep is null or rep = _id")
+    spread = nodes.select("_id", F.explode("bands").alias("key"))
+    buckets = t.stored(spread.groupBy("key").agg(F.min("_id").alias("pivot"), F.max("_id").alias("top")).where("pivot < top").drop("top"), "buckets", small=True)
+    members = t.stored(t.sieve(spread, "key", buckets.select("key")).join(buckets, "key"), "members", small=True)
+    ids = t.stored(members.select("_id").distinct(), "ids", small=True)
+    names = t.stored(t.sieve(nodes.select("_id", "digest", "n"), "_id", ids).join(ids, "_id", "left_semi").distinct(), "names", small=True)
+    items = t.stored(t.map_arrow(t.sieve(source, "_id", ids).join(names.drop("n"), "_id"), _full_sets(shingle), "_id long, items array<long>"), "sets")
+    sizes = names.groupBy("_id").agg(F.min("n").alias("least"), F.max("n").alias("n"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left, right = items.select(F.col("_id").alias("a"), F.col("items").alias("x")), items.select(F.col("_id").alias("b"), F.col("items").alias("y"))
-        both = pairs.join(left, "a").join(right, "b")
-        near = (F.least(F.size("x"), F.size("y")) * 100 >= F.greatest(F.size("x"), F.size("y")) * percent) & ((100 + percent) * F.size(F.array_intersect("x", "y")).cast("long") >= percent * (F.size("x") + F.size("y")).cast("long"))
-        return both.where(near).select("a", "b")
+        for c in ("a", "b"):
+            pairs = pairs.join(sizes.select(F.col("_id").alias(c), F.col("least").alias(f"{c}_least"), F.col("n").alias(f"{c}_most")), c)
+        pairs = pairs.where((F.col("a_least") * percent <= F.col("b_most") * 100) & (F.col("b_least") * percent <= F.col("a_most") * 100)).select("a", "b")
+        near = (100 + percent) * F.size(F.array_intersect("x", "y")).cast("long") >= percent * (F.size("x") + F.size("y")).cast("long")
+        return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
 
-    tested = t.stored(_few(members.where("_id != pivot").select(F.col("_id").alias("a"), F.col("pivot").alias("b")).distinct()), "pairs")
     # one id with several sets, from repeated ids, needs no link: its sets share the node
-    links = t.stored(confirm(tested), "links")
-    found = components(links)
-    placed = members.select("key", "_id").join(found, F.col("_id") == F.col("node"), "left").select("key", "_id", F.coalesce("component", "_id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    # buckets of one component are done with; sets that share another bucket, in a chain, are a group
-    placed = t.stored(_few(placed.join(mixed, "key", "left_semi").distinct()), "open")
-    chain = placed.join(placed.groupBy("key").agg(F.min("_id").alias("b")), "key").select(F.col("_id").alias("a"), "b").where("a != b").distinct()
-    groups = components(chain).select(F.col("node").alias("_id"), F.col("component").alias("group"))
-    own = placed.select("_id", "c").distinct().join(groups, "_id", "left").select("_id", "c", F.coalesce("group", "_id").alias("group"))
-    more = t.stored(_few(_across(items.join(own, "_id"), percent)), "links")
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-    top = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("_component"))
-    out = every.join(top, (every["digest"] == top["_digest"]) & (every["n"] > 0), "left")
-    return out.select(F.col("_id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNull(), None).otherwise(F.coalesce("_component", "_id")).alias("component_id"))
+    found = components(confirm(members.where("_id != pivot").select(F.col("_id").alias("a"), F.col("pivot").alias("b")).distinct()))
+    placed = members.select("key", "_id").join(found, F.col("_id") == F.col("node"), "left").select("key", "_id", F.coalesce("component", "_id").alias("c")).distinct()
+    # buckets of one component are done with, and of buckets with the same members one is enough
+    mark = F.xxhash64("_id", F.lit(1)).cast("decimal(20,0)")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(mark).alias("sum"), F.bit_xor(F.xxhash64("_id", F.lit(2))).alias("xor")).where("low < high")
+    mixed = mixed.groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key")
+    open = t.stored(placed.join(mixed, "key", "left_semi").join(sizes, "_id").select("_id", "c", F.col("key").alias("group"), "n"), "open", small=True)
+    if not open.isEmpty():
+        more = t.stored(_across(items, open, percent), "links", small=True)
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    out = every.join(copies, "digest", "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "_id"))).join(found, F.col("rep") == F.col("node"), "left")
+    return out.select(F.col("_id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNull(), None).otherwise(F.coalesce("component", "rep", "_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
