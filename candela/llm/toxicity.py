@@ -1,20 +1,25 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Two interpolated Kneser-Ney bigram models, of toxic and of ordinary labelled texts, share their
-lowest order: the continuation counts of both classes together, so an expression that is rare in
-either is smoothed alike. A text's score compares its log-likelihoods under the two, normalised by
-length: over the whole text, and over its most toxic expressions (single words and short runs), as
-a few insults in a long text leave the mean unmoved. A logistic regression on these normalised
-differences, fitted on labelled rows that the models did not see, turns them into 0 to 1.
+Two interpolated Kneser-Ney bigram models, of toxic and of ordinary labelled texts. Their lower orders
+are continuation counts (in how many contexts a word was seen), and these back off to the continuation
+counts of both classes together, so an expression that is rare in either is smoothed alike. Discounts
+are those of counts of one, two and more (DISCOUNT): what was seen once says that a context or a word
+has varied company, and leaves its whole mass to the backoff; what few texts have can't tell classes
+apart. All probabilities of a context, unknown word included, sum to one.
+
+A text's score compares its log-likelihoods under the two, normalised by length: the mean difference
+over the fiftieth of its words (one at least) where that is greatest, as a few insults in a long text
+leave the mean of all words unmoved. A logistic curve of this one number, fitted on labelled rows that
+the models did not see and never falling, turns it into 0 to 1.
 
 Bounds: the models learn from at most `sample` labelled rows, those of least hash of their id, and
 hold all words and word pairs of these. This is the only bound; every whole text is scored. Labels
 are read for fitting only, and of a text nothing but its words is an input of its score.
 
 Rows: words are lower-cased `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Null, empty and wordless texts get
-the score that the regression gives to differences of zero. Labels that are null or whose id is
+the score that the curve gives to a difference of zero. Labels that are null or whose id is
 null are not learned from; ids with several labels are learned from by each. Where labels of both
-classes are lacking, every score is the rate of toxic words among the labelled ones (0 without any).
+classes are lacking, every score is the rate of toxic rows among the labelled ones (0 without any).
 `reject` carries all other columns, whatever their names; `score` those that are asked for.
 
 Scale: fitting joins the sampled ids to the texts by broadcast (the bound above); scoring is one
@@ -23,6 +28,8 @@ pass without a shuffle.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +38,10 @@ from pyspark.sql import functions as F
 from . import _text as t
 
 SAMPLE, THRESHOLD = 16_000, 0.3
-FEATURES = 7
-UNKNOWN = np.uint64(1)
+#: What is taken off a count of 0, 1, 2 and 3 or more.
+DISCOUNT = np.array([0.0, 1.0, 1.9, 2.5])
+#: The share of a text's words that are compared.
+SHARE = 0.02
 
 
 def held_out(id: Column) -> Column:
@@ -40,8 +49,9 @@ def held_out(id: Column) -> Column:
 
 
 class Model:
-    """word: sorted hashes; single: log-likelihood difference of each word (last: of an unknown one);
-    pair: sorted hashes of word pairs, with their differences; context, weights of the backoff."""
+    """word: sorted hashes; toxic1, plain1: probability of each word without its context (last: of an
+    unknown one); pair: sorted hashes of word pairs, toxic2, plain2: what the pair itself gives;
+    back_toxic, back_plain: the weight of the backoff after each word (last: after an unknown one)."""
 
     def __init__(self, word, toxic1, plain1, pair, toxic2, plain2, back_toxic, back_plain):
         self.word, self.toxic1, self.plain1 = word, toxic1, plain1
@@ -49,59 +59,61 @@ class Model:
         self.back_toxic, self.back_plain = back_toxic, back_plain
         self.weights = self.held = None  # held: the broadcast of the model without them
 
+    def short(self) -> Model:
+        """The same probabilities, less the pairs that give nothing themselves."""
+        some = (self.toxic2 > 0) | (self.plain2 > 0)
+        return Model(self.word, self.toxic1, self.plain1, self.pair[some], self.toxic2[some], self.plain2[some], self.back_toxic, self.back_plain)
+
     def differences(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log P(word | before, toxic) - log P(word | before, ordinary) of each word."""
-        spot = np.minimum(np.searchsorted(self.word, h), max(len(self.word) - 1, 0))
-        known = self.word[spot] == h if len(self.word) else np.zeros(len(h), bool)
-        spot = np.where(known, spot, len(self.word))
-        before = np.concatenate(([len(self.word)], spot[:-1]))
-        keys = t.pair(np.concatenate((h[:1], h[:-1])), h)
+        """log P(word | before, toxic) - log P(word | before, ordinary) of each word; the first of a row has no context."""
+        n = len(self.word)
+        spot = np.minimum(np.searchsorted(self.word, h), max(n - 1, 0))
+        spot = np.where(self.word[spot] == h, spot, n) if n else np.full(len(h), n)
+        before = np.concatenate(([n], spot[:-1]))
         first = at[:-1][at[:-1] < len(h)]
+        keys = t.pair(np.concatenate((h[:1], h[:-1])), h)
         two = np.minimum(np.searchsorted(self.pair, keys), max(len(self.pair) - 1, 0))
         seen = self.pair[two] == keys if len(self.pair) else np.zeros(len(h), bool)
         seen[first] = False
-        toxic = self.toxic1[spot] * self.back_toxic[before]
-        plain = self.plain1[spot] * self.back_plain[before]
-        toxic[first], plain[first] = self.toxic1[spot[first]], self.plain1[spot[first]]
-        toxic += np.where(seen, self.toxic2[two], 0)
-        plain += np.where(seen, self.plain2[two], 0)
-        return np.log(toxic) - np.log(plain)
+        out = []
+        for single, back, pair in ((self.toxic1, self.back_toxic, self.toxic2), (self.plain1, self.back_plain, self.plain2)):
+            given = single[spot] * back[before]
+            given[first] = single[spot[first]]
+            given[seen] += pair[two[seen]]
+            out.append(np.log(given))
+        return out[0] - out[1]
 
     def features(self, texts: pa.Array) -> np.ndarray:
+        """The mean difference of the words where it is greatest; 0 without words."""
         words = t.Words(texts, t.ALNUM, t.LOWER)
         d, at = self.differences(words.hashes(), words.at), words.at
-        out = np.zeros((len(at) - 1, FEATURES))
-        total = np.concatenate(([0.0], np.cumsum(d)))
+        out = np.zeros(len(at) - 1)
         for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-            n = b - a
-            if not n:
-                continue
-            own = d[a:b]
-            runs = (total[a + 8 : b + 1] - total[a : b - 7]) / 8 if n >= 8 else np.array([own.mean()])
-            most = np.sort(own)[-5:] if n > 5 else np.sort(own)
-            out[r] = own.mean(), own.sum() / np.sqrt(n), most[-1], most.mean(), runs.max(), np.log1p(np.maximum(own - 1, 0).sum()), np.log1p(n) / 10
+            if b > a:
+                k = max(1, math.ceil(SHARE * (b - a)))
+                out[r] = np.partition(d[a:b], b - a - k)[b - a - k :].mean()
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        mean, scale, beta = self.weights
-        z = np.clip((features - mean) / scale @ beta[1:] + beta[0], -30, 30)
-        return 1 / (1 + np.exp(-z))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple:
-    """Mean, scale and coefficients, intercept first, by Newton's method."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.hstack([np.ones((len(x), 1)), (x - mean) / scale])
-    beta = np.zeros(z.shape[1])
-    beta[0] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
-    penalty = np.diag([0.0] + [ridge] * x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + penalty + 1e-9 * np.eye(len(beta)), z.T @ (y - p) - penalty @ beta)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
+        base, slope = self.weights
+        return 1 / (1 + np.exp(-np.clip(base + slope * features, -30, 30)))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
+    """Intercept and slope, 0 at least, by Newton's method."""
+    rate = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    base, slope = float(np.log(rate / (1 - rate))), 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(base + slope * x, -30, 30)))
+        w = p * (1 - p)
+        a, b, c = w.sum() + 1e-9, (w * x).sum(), (w * x * x).sum() + ridge
+        g, h = (y - p).sum(), ((y - p) * x).sum() - ridge * slope
+        det = a * c - b * b + 1e-12
+        one, two = np.clip((c * g - b * h) / det, -2, 2), np.clip((a * h - b * g) / det, -2, 2)
+        base, slope = base + float(one), slope + float(two)
+        if max(abs(one), abs(two)) < 1e-9:
             break
-    return mean, scale, beta
+    return (base, slope) if slope > 0 else (float(np.log(rate / (1 - rate))), 0.0)
 
 
 def _count(batches):
@@ -127,71 +139,59 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     texts = texts.withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(4)))
     by_class = [F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).cast("int").alias(f"c{k}") for k in (0, 1)]
     found = t.map_arrow(texts.where("fold != 0").select("toxic", "text"), _count, "toxic int, before long, word long, n long").groupBy("before", "word").agg(*by_class).toArrow()  # pairs of the sample
-    every = {c: found.column(c).to_numpy() for c in found.column_names}
+    count = [found.column(c).to_numpy() for c in ("c0", "c1")]
+    word, after = np.unique(found.column("word").to_numpy().view(np.uint64), return_inverse=True)
+    before = found.column("before").to_numpy().view(np.uint64)
     del found
     pa.default_memory_pool().release_unused()
-
-    def totals(side: str) -> dict[str, np.ndarray]:
-        """Counts of the words on one side of the pairs, and with how many words each class has them."""
-        key = every[side].view(np.uint64)
-        kinds, place = np.unique(key, return_inverse=True)
-        out = {side: kinds, "left": np.bincount(place, minlength=len(kinds))}
-        for k in (0, 1):
-            out[f"c{k}"] = np.bincount(place, every[f"c{k}"], len(kinds))
-            out[f"k{k}"] = np.bincount(place, every[f"c{k}"] > 0, len(kinds))
-        return out
-
-    words, contexts = totals("word"), totals("before")
-    n0, n1 = (float(words[f"c{k}"].sum()) for k in (0, 1))
-    v0, v1 = (float((words[f"c{k}"] > 0).sum()) for k in (0, 1))
-    kinds = float(len(every["word"]))
-    discount = [x / (x + 2 * y) if x and y else 0.75 for x, y in (((every[c] == 1).sum(), (every[c] == 2).sum()) for c in ("c0", "c1"))]
-    inner = every["before"] != 0
-    pairs = {c: every.pop(c)[inner] for c in list(every)}
-    del inner
-
-    def probability(shared, c, n, distinct):
-        return np.maximum(c - 0.5, 0) / n + 0.5 * distinct / n * shared if n else shared
-
-    word = words["word"]
-    shared = np.append(np.maximum(words["left"] - 0.75, 0), 0) / max(kinds, 1) + 0.75 / max(kinds, 1)
-    toxic1 = probability(shared, np.append(words["c1"], 0), n1, v1)
-    plain1 = probability(shared, np.append(words["c0"], 0), n0, v0)
-    back = [np.ones(len(word) + 1), np.ones(len(word) + 1)]
-    total = [np.ones(len(word) + 1), np.ones(len(word) + 1)]
-    at = np.searchsorted(word, contexts["before"])
-    fine = (at < len(word)) & (word[np.minimum(at, max(len(word) - 1, 0))] == contexts["before"]) if len(word) else np.zeros(0, bool)
-    for k in (0, 1):
-        c, many = contexts[f"c{k}"][fine], contexts[f"k{k}"][fine]
-        total[k][at[fine]] = np.maximum(c, 1)
-        back[k][at[fine]] = np.where(c > 0, discount[k] * many / np.maximum(c, 1), 1.0)
-    before, after = pairs["before"].view(np.uint64), pairs["word"].view(np.uint64)
-    at = np.minimum(np.searchsorted(word, before), max(len(word) - 1, 0))
-    keys = t.pair(before, after)
-    del before, after
+    n = len(word)
+    after = after.astype(np.int32)
+    inner = before != 0  # the first word of a text has no context, but counts as in one more company
+    behind = np.searchsorted(word, before).astype(np.int32)
+    behind[~inner] = n
+    del before
+
+    def kept(c: np.ndarray) -> np.ndarray:
+        return np.maximum(c - DISCOUNT[np.minimum(c, 3).astype(np.int64)], 0)
+
+    def lower(c: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """Discounted shares of the words and an unknown one; what was taken off goes to `shared`."""
+        own = np.append(kept(c), 0) / max(c.sum(), 1)
+        return own + (1 - own.sum()) * shared
+
+    shared = lower(np.bincount(after, minlength=n), np.full(n + 1, 1 / (n + 1)))
+    single, back, given = [], [], []
+    for c in count:
+        single.append(lower(np.bincount(after, c > 0, minlength=n), shared))
+        total = np.bincount(behind, c, minlength=n + 1)
+        own = kept(c).astype(np.float32)
+        used = np.bincount(behind, own, minlength=n + 1)
+        weight = np.where(total > 0, 1 - used / np.maximum(total, 1), 1.0)
+        weight[n] = 1.0
+        back.append(weight)
+        own /= np.maximum(total, 1)[behind]
+        given.append(own[inner])
+    del own, count
+    keys = t.pair(word[behind[inner]], word[after[inner]])
+    del behind, after
     order = np.argsort(keys)
-    given = [(np.maximum(pairs[f"c{k}"] - discount[k], 0) / total[k][at])[order].astype(np.float32) for k in (0, 1)] if len(keys) else [np.zeros(0)] * 2
-    del pairs, at
-    model = Model(word, toxic1, plain1, keys[order], given[1], given[0], back[1], back[0])
-
-    if not len(keys):  # a pair that no text has
-        model.pair, model.toxic2, model.plain2 = np.array([2**64 - 1], np.uint64), np.zeros(1), np.zeros(1)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    model = Model(word, single[1], single[0], keys[order], given[1][order], given[0][order], back[1], back[0])
+    del keys, given, order
+    held = docs.sparkSession.sparkContext.broadcast(model.short())
     model.held = held
 
     def features(batches):
         for batch in t.sliced(batches, "text"):
             x = held.value.features(batch.column(batch.schema.get_field_index("text")))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), FEATURES).cast(pa.list_(pa.float64()))], ["toxic", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("toxic")), pa.array(x)], ["toxic", "x"])
 
-    rows = t.map_arrow(texts.where("fold = 0").select("toxic", "text"), features, "toxic int, x array<double>").toArrow()  # a fourth of the sample at most
+    rows = t.map_arrow(texts.where("fold = 0").select("toxic", "text"), features, "toxic int, x double").toArrow()  # a fourth of the sample at most
     y = rows.column("toxic").to_numpy().astype(float)
-    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if len(y) else np.zeros((0, FEATURES))
     if len(y) and 0 < y.sum() < len(y):
-        model.weights = _logistic(x, y)
+        model.weights = _logistic(rows.column("x").to_numpy(), y)
     else:
-        rate = n1 / (n0 + n1) if n0 + n1 else 0.0
-        model.weights = (np.zeros(FEATURES), np.ones(FEATURES), np.array([np.log((rate + 1e-9) / (1 - rate + 1e-9)), *[0.0] * FEATURES]))
+        rate = chosen.agg(F.avg("toxic")).first()[0] or 0.0
+        model.weights = (float(np.log((rate + 1e-9) / (1 - rate + 1e-9))), 0.0)
     return model
 
 

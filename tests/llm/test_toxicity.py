@@ -56,13 +56,13 @@ def test_probabilities_sum_to_one(spark):
     at = np.searchsorted(m.word, h)
     assert len(m.word) == kinds
     for single, back, two in ((m.toxic1, m.back_toxic, m.toxic2), (m.plain1, m.back_plain, m.plain2)):
-        assert abs(single[at].sum() - 1) < 0.25  # the rest is left to unknown words
+        assert abs(single.sum() - 1) < 1e-6 and len(single) == kinds + 1 and (single > 0).all()  # the last is an unknown word
         for v in range(kinds):
             keys = t.pair(np.repeat(h[v], kinds), h)
             spot = np.minimum(np.searchsorted(m.pair, keys), len(m.pair) - 1)
             seen = m.pair[spot] == keys
-            total = (back[at[v]] * single[at]).sum() + two[spot][seen].sum()
-            assert 0.6 < total < 1.0001
+            total = back[at[v]] * single.sum() + two[spot][seen].sum()
+            assert abs(total - 1) < 1e-6
 
 
 def test_without_labels(spark, fitted):
@@ -87,3 +87,52 @@ def test_pairs_seen_once_are_evidence(spark):
                 known += 1
                 assert np.isin(t.pair(h[:-1], h[1:]), m.pair).all()
     assert known * 3 == len(m.word) and len(m.pair) == known * 2
+
+
+def test_score_equals_brute_force(spark):
+    """The models and the score from their definitions, over Python dictionaries."""
+    import math
+    from collections import Counter
+
+    docs, labels = corpus(160, seed=3)
+    labels = [(k, y) for k, y in labels if y is not None]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    m = x.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    folds = {r[0] for r in frame.selectExpr("doc_id", "pmod(xxhash64(doc_id, 7), 4) as f").where("f != 0").collect()}
+    count = [Counter(), Counter()]
+    for k, y in labels:
+        if k in folds:
+            words = docs[k][1].split()
+            count[y].update(zip(["", *words], words))
+    off = lambda c: (0, 1.0, 1.9, 2.5)[min(c, 3)]
+    vocab = sorted({w for c in count for _, w in c})
+
+    def lower(kinds, shared):
+        total = max(sum(kinds.values()), 1)
+        own = {w: max(kinds[w] - off(kinds[w]), 0) / total for w in [*vocab, None]}
+        left = 1 - sum(own.values())
+        return {w: own[w] + left * shared[w] for w in own}
+
+    both = lower(Counter(w for _, w in set(count[0]) | set(count[1])), dict.fromkeys([*vocab, None], 1 / (len(vocab) + 1)))
+    low = [lower(Counter(w for _, w in c), both) for c in count]
+    after = [{}, {}]
+    for c, rows in zip(count, after):
+        for (v, w), n in c.items():
+            rows.setdefault(v, []).append((w, n))
+
+    def probability(k, v, w):
+        w = w if w in both else None
+        rows = after[k].get(v, []) if v else []
+        if not rows:
+            return low[k][w]
+        total = sum(n for _, n in rows)
+        own = {u: max(n - off(n), 0) / total for u, n in rows}
+        return own.get(w, 0) + (1 - sum(own.values())) * low[k][w]
+
+    texts = [d[1] for d in docs[:40]] + ["scum", "unheard of words", ""]
+    for text, got in zip(texts, m.features(pa.array(texts))):
+        words = text.split()
+        d = sorted((math.log(probability(1, v, w)) - math.log(probability(0, v, w)) for v, w in zip([None, *words], words)), reverse=True)
+        some = d[: max(1, math.ceil(len(d) / 50))]
+        assert abs(got - (sum(some) / len(some) if some else 0)) < 1e-4
+    assert m.weights[1] > 0 and (np.diff(m.score(np.linspace(-5, 5, 50))) >= 0).all()
