@@ -125,9 +125,14 @@ class Coder:
         return flat[index], at[words.at]
 
 
+    def forget(self) -> None:
+        self.known, self.before = {}, {}
+
+
 @lru_cache(maxsize=1)
 def coder(path: str, by_word: bool) -> Coder:
-    """A worker keeps its words from task to task."""
+    """A worker keeps the tokenizer from task to task; its words it forgets after each, as idle workers
+    of several stages would add up."""
     return Coder(path, by_word)
 
 
@@ -163,6 +168,7 @@ def pieces(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", s
             counts += np.bincount(kinds, minlength=len(counts))
             columns = [batch.column(0).take(pa.array(rows)), pa.array(starts), pa.array(sizes), pa.array(crc), pa.array(lengths[rows]), pa.array(kinds.astype(np.int32)), pa.array(np.full(len(rows), task, np.int64)), pa.array(place)]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(own, pa.list_(pa.int32()))] * with_ids, names)
+        encode.forget()
 
     return t.map_arrow(docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")), run, schema)
 

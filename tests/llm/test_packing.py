@@ -71,3 +71,21 @@ def test_clear_deletes_the_tables(spark):
 
 def test_empty(spark):
     assert p.pack(spark.createDataFrame([], "doc_id long, text string"), p.default_tokenizer()).count() == 0
+
+
+def test_ids_by_word_equal_ids_of_whole_texts():
+    """Words that are tokenised joined, apart or from memory give the ids of the whole text."""
+    import random
+
+    import pyarrow as pa
+
+    code = p.Coder(p.default_tokenizer(), True)
+    rng = random.Random(1)
+    signs = ["a", "b", "É", "İ", "ß", "ǆ", "한", "ㄱ", "ᄀ", "ᅡ", "\u0301", "1", "²", "'", "s", "t", ".", ",", "-", "_", "\u200b", "日", "本", "é", "Σ", "ς", "ﬁ", "\xa0", " ", " ", " "]
+    for _ in range(100):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(200))) for _ in range(40)]
+        ids, at = code(pa.array(texts))
+        for k, x in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == code.tokenizer.encode(x, add_special_tokens=False).ids
+    code.forget()
+    assert not code.known and not code.before
