@@ -1,17 +1,18 @@
 """Main text of web pages by nearest-URL differencing.
 
 Pages of a host are ordered by URL path, and each is paired with the neighbour whose path has the
-longer common beginning. Their text lines (the text of each block) are aligned by a longest common
-subsequence, and lines that the alignment shares are deleted. Neighbours whose lines are all the same
-are copies, and the nearest page beyond a run of them is taken. A neighbour that shares four fifths of
-the lines is a near copy rather than another page of the site, and the one on the other side is taken.
-
-Differencing alone can't give right results: a lone page of a host has no neighbour, menus and
-adverts that vary from page to page are not shared, and an article's own lines are deleted where a
-neighbour quotes them. So structure goes first. Scripts, styles, forms, menus, headers, footers,
-sidebars, notices, adverts and comments, by element, role or class name, are never lines. Where a
-page marks its article (article or main element, or a known class), its text is that, and shared
-lines in it stay; the alignment decides on pages without such a mark, which is most needed there.
+longer common beginning (if the two share no line, with the other one). Their text lines (the text of
+each block) are aligned by a longest common subsequence, and lines that the alignment shares are
+deleted: menus, headers, footers, notices and whatever else the site repeats. Neighbours whose lines
+are all the same are copies, and the nearest page beyond a run of them is taken.
+
+Differencing alone can't give right results: adverts, comments and forms that vary from page to page
+are not shared, an article's own lines are where a neighbour quotes them, and a lone page of a host has
+no neighbour. Structure refines it. Lines that a page marks as its article (article or main element, or
+a known class) stay though shared, lines in elements that are no content (menu, advert, form, comment,
+by element, role or class name) go though not shared, and a page without a neighbour is reduced to its
+marked article if it has one. Scripts, styles and the like are never lines. Counts tell which of them
+decided: n_deleted (by the alignment), n_held (shared, but marked), n_ruled (by structure alone).
 
 Lines: character references are decoded, white space runs become one space, ends are trimmed, and
 empty lines dropped; br ends a line. Broken pages are read as far as they go: an open comment,
@@ -57,6 +58,9 @@ SKIP_NAMES = re.compile(
 )
 SKIP_BEGINNINGS = re.compile(r"^(?:ads?|adsbygoogle|advert\w*|comment|comments|commentlist|cookie|sidebar|newsletter|sponsor\w*|promo|related|popup|modal|breadcrumbs?|share|social|disqus)(?:[-_].*)?$", re.I)
 KEEP_NAMES = re.compile(r"^(?:no|has|with|without|hide)[-_]", re.I)
+COUNTS = ("n_deleted", "n_held", "n_ruled")
+#: Cells of an alignment that are held at once, a bit each.
+CELLS = 1 << 26
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
 
@@ -83,25 +87,30 @@ def _named(rest: str) -> tuple[bool, bool]:
     return skip and not marked, marked
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """The lines of a page that structure does not rule out, and whether each is in a marked article."""
-    out: list[tuple[str, bool]] = []
+PLAIN, MARK, RULED = 0, 1, 2
+
+
+def all_lines(page: str) -> list[tuple[str, int]]:
+    """The lines of a page, and of each whether it is in a marked article or ruled out by structure."""
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
+    aside: list[str] = []  # what structure rules out
     stack: list[tuple[str, bool, bool]] = []  # element, skipped, in a marked article
 
     def end() -> None:
-        if parts:
-            line = " ".join(html.unescape("".join(parts)).split())
-            if line:
-                out.append((line, bool(stack) and stack[-1][2]))
-            parts.clear()
+        for text, kind in ((parts, MARK if stack and stack[-1][2] else PLAIN), (aside, RULED)):
+            if text:
+                line = " ".join(html.unescape("".join(text)).split())
+                if line:
+                    out.append((line, kind))
+                text.clear()
 
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
         stop = m.start() if m else n
-        if stop > at and not (stack and stack[-1][1]):
-            parts.append(page[at:stop])
+        if stop > at:
+            (aside if stack and stack[-1][1] else parts).append(page[at:stop])
         if not m:
             break
         at = m.end()
@@ -133,17 +142,50 @@ def lines(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def common(a: list, b: list) -> list[int]:
-    """Places in a of a longest common subsequence with b, by bit vectors."""
+def lines(page: str) -> list[tuple[str, bool]]:
+    """The lines of a page that structure does not rule out, and whether each is in a marked article."""
+    return [(x, kind == MARK) for x, kind in all_lines(page) if kind != RULED]
+
+
+def _vector(a: list, b: list, rows: list | None = None) -> int:
+    """The last bit vector of the alignment of a with b; rows: gets that of each line of a."""
     spots: dict = {}
     for j, y in enumerate(b):
         spots[y] = spots.get(y, 0) | 1 << j
-    whole = (1 << len(b)) - 1
-    v, rows = whole, []
+    v = whole = (1 << len(b)) - 1
     for x in a:
         u = v & spots.get(x, 0)
         v = ((v + u) | (v - u)) & whole
-        rows.append(v)
+        if rows is not None:
+            rows.append(v)
+    return v
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """The length of the longest common subsequence of a and each beginning of b."""
+    v = _vector(a, b)
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate(([0], np.cumsum(bits == 0)))
+
+
+def common(a: list, b: list) -> list[int]:
+    """Places in a of a longest common subsequence with b, by bit vectors; long ones in halves of a, so
+    that memory does not grow with the product of the lengths."""
+    first = 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last] == b[-1 - last]:
+        last += 1
+    ends = list(range(first)), list(range(len(a) - last, len(a)))
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if len(a) > 1 and len(a) * len(b) > CELLS:
+        half = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]))
+        inner = common(a[:half], b[:cut]) + [half + k for k in common(a[half:], b[cut:])]
+        return ends[0] + [first + k for k in inner] + ends[1]
+    rows: list[int] = []
+    _vector(a, b, rows)
     out, i, j = [], len(a), len(b)
     while i and j:
         if rows[i - 1] >> (j - 1) & 1:
@@ -153,19 +195,20 @@ def common(a: list, b: list) -> list[int]:
             if not i or rows[i - 1] >> (j - 1) & 1:
                 out.append(i)
                 j -= 1
-    return out[::-1]
+    return ends[0] + [first + k for k in out[::-1]] + ends[1]
 
 
 def _read(batches):
     for batch in t.sliced(batches, "_html"):
         body, marks, hashes = [], [], []
         for page in batch.column(batch.schema.get_field_index("_html")).to_pylist():
-            found = lines(page)
-            body.append(zlib.compress("\n".join(x for x, _ in found).encode(), 1))
-            marks.append(bytes(m for _, m in found))
+            found = all_lines(page)
+            body.append(zlib.compress("\n".join(x for x, kind in found if kind != RULED).encode(), 6))
+            marks.append(bytes(kind for _, kind in found))
             hashes.append(np.array([xxhash.xxh3_64_intdigest(x.encode()) for x, _ in found], np.uint64).view(np.int64))
         same = [batch.column(k) for k in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*same, pa.array(body, pa.binary()), pa.array(marks, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "body", "marks", "lines"])
+        tie = pa.array([xxhash.xxh3_64_intdigest(m + x) >> 1 for m, x in zip(marks, body)], pa.int64())
+        yield pa.RecordBatch.from_arrays([*same, pa.array(body, pa.binary()), pa.array(marks, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), tie], [*batch.schema.names[:-1], "body", "marks", "lines", "tie"])
 
 
 def _near(a: str, b: str) -> int:
@@ -181,38 +224,45 @@ def _difference(batches):
     """The text of each page, from its lines and those of the pages before and after."""
     for batch in batches:
         col = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in batch.schema.names}
-        text, gone = [], []
+        text, counts = [], []
         for r in range(batch.num_rows):
-            body = zlib.decompress(col["body"][r]).decode()
-            own, marks = body.split("\n") if body else [], col["marks"][r]
-            if any(marks):
-                text.append("\n".join(x for x, m in zip(own, marks) if m))
-                gone.append(sum(not m for m in marks))
-                continue
-            shared: list[int] = []
+            body, marks = zlib.decompress(col["body"][r]).decode(), col["marks"][r]
+            own = iter(body.split("\n") if body else [])
             others = [(p, x, next_to) for p, x, next_to in ((col["before_path"][r], col["before"][r], col["_starts"][r]), (col["after_path"][r], col["after"][r], col["_ends"][r])) if p is not None]
+            shared: set[int] = set()
             for _, x, _ in sorted(others, key=lambda o: (-_near(o[0], col["path"][r]), not o[2])):
-                same = common(col["lines"][r], x)
-                if len(same) * 5 < 4 * len(own):  # or else a copy
-                    shared = same
+                shared = set(common(col["lines"][r], x))
+                if shared:
                     break
-            drop = set(shared)
-            text.append("\n".join(x for k, x in enumerate(own) if k not in drop))
-            gone.append(len(drop))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(gone, pa.int64())], [*batch.schema.names[:2], "text", "n_deleted"])
+            alone = not others and MARK in marks
+            kept, deleted, held, ruled = [], 0, 0, 0
+            for k, kind in enumerate(marks):
+                line = next(own) if kind != RULED else None
+                if kind == MARK:
+                    kept.append(line)
+                    held += k in shared
+                elif k in shared:
+                    deleted += 1
+                elif kind == RULED or alone:
+                    ruled += 1
+                else:
+                    kept.append(line)
+            text.append("\n".join(kept))
+            counts.append((deleted, held, ruled))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), *(pa.array([x[k] for x in counts], pa.int64()) for k in range(3))], [*batch.schema.names[:2], "text", *COUNTS])
 
 
 def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str = "html", ranges: int | None = None) -> DataFrame:
-    """(id, url, text, n_deleted) of each page."""
+    """(id, url, text, n_deleted, n_held, n_ruled) of each page."""
     kinds = [pages.schema[c].dataType.simpleString() for c in (id, url)]
     link = F.coalesce(F.col(url).cast("string"), F.lit(""))
     where = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
     rows = pages.select(F.col(id).alias("_id"), F.col(url).alias("_url"), F.lower(F.regexp_extract(link, where, 1)).alias("host"), F.regexp_extract(link, where, 2).alias("path"), F.coalesce(F.col(page), F.lit("")).alias("_html"))
     number = F.coalesce(F.lpad(F.col("_id").cast("string"), 20, "0"), F.lit(""))
     rows = rows.withColumn("key", F.concat_ws("\x00", "host", "path", number)).select("_id", "_url", "host", "path", "key", "_html")
-    found = t.map_arrow(rows, _read, f"_id {kinds[0]}, _url {kinds[1]}, host string, path string, key string, body binary, marks binary, lines array<long>")
+    found = t.map_arrow(rows, _read, f"_id {kinds[0]}, _url {kinds[1]}, host string, path string, key string, body binary, marks binary, lines array<long>, tie long")
     spread = dealt(found, "key", ranges=ranges, keys=rows, both=True)
-    order = Window.partitionBy("_range").orderBy("_order", "key", "body")
+    order = Window.partitionBy("_range").orderBy("_order", "key", "tie")
     one = F.struct("host", "path", "lines")
     # copies in a row are a run: the page before is the last one of the run before, the page after the first of the next
     differs = lambda side: F.coalesce((side("host").over(order) != F.col("host")) | (side("lines").over(order) != F.col("lines")), F.lit(True))
@@ -220,7 +270,7 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str
     spread = spread.withColumns({"_end": F.when(F.col("_ends"), one), "_start": F.when(F.col("_starts"), one)})
     spread = spread.withColumns({"_before": F.last("_end", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.first("_start", True).over(order.rowsBetween(1, Window.unboundedFollowing))})
     # a run may go on over several ranges: their outermost pages, a row for each range, are carried over them
-    place = F.struct("key", "body")
+    place = F.struct("key", "tie")
     edges = spread.groupBy("_range").agg(F.max_by("_end", F.when(F.col("_ends"), place)).alias("_end"), F.min_by("_start", F.when(F.col("_starts"), place)).alias("_start"))
     across = Window.orderBy("_range")
     edges = edges.select(F.col("_range").alias("_at"), F.last("_end", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"), F.first("_start", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
@@ -228,10 +278,10 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", page: str
     same = lambda c: F.when((F.col(f"{c}.host") == F.col("host")) & (F.col("host") != ""), F.col(c))
     spread = spread.withColumns({"_before": same("_before"), "_after": same("_after")})
     ready = spread.select("_id", "_url", "_starts", "_ends", "path", "body", "marks", "lines", F.col("_before.path").alias("before_path"), F.col("_before.lines").alias("before"), F.col("_after.path").alias("after_path"), F.col("_after.lines").alias("after"))
-    return t.map_arrow(ready, _difference, f"_id {kinds[0]}, _url {kinds[1]}, text string, n_deleted long").select(F.col("_id").alias(id), F.col("_url").alias(url), "text", "n_deleted")
+    return t.map_arrow(ready, _difference, f"_id {kinds[0]}, _url {kinds[1]}, text string, " + ", ".join(f"{c} long" for c in COUNTS)).select(F.col("_id").alias(id), F.col("_url").alias(url), "text", *COUNTS)
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of each page."""
     found = main_text(t.table(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_deleted")
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), *COUNTS)

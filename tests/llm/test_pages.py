@@ -1,4 +1,6 @@
+import os
 import random
+import re
 
 import pytest
 from candela.llm import pages as p
@@ -29,28 +31,69 @@ def test_common_is_a_longest_common_subsequence():
         assert len(found) == best[-1][-1] and all(any(x == y for y in rest) for x in (a[k] for k in found))
 
 
+def test_long_alignments_are_cut_in_halves(monkeypatch):
+    rng = random.Random(1)
+    pairs = [([rng.randrange(40) for _ in range(rng.randrange(90))] for _ in range(2)) for _ in range(60)]
+    pairs = [tuple(x) for x in pairs]
+    whole = [len(p.common(a, b)) for a, b in pairs]
+    monkeypatch.setattr(p, "CELLS", 20)
+    for (a, b), n in zip(pairs, whole):
+        found = p.common(a, b)
+        rest = iter(b)
+        assert len(found) == n and all(any(x == y for y in rest) for x in (a[k] for k in found))
+
+
+def parsed(page):
+    """(line, whether marked) of the pages below, which have p and article elements only."""
+    inside, out = False, []
+    for tag, line in re.findall(r"(</?article>)|<p>([^<]+)", page or ""):
+        inside = tag == "<article>" if tag else inside
+        out += [(line, inside)] * bool(line)
+    return out
+
+
+def longest(a, b):
+    """Places in a of a longest common subsequence with b, by the table of lengths."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    out = set()
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
 def brute(rows):
-    """The text of each page from all pages of its host."""
+    """The text of each page, and how many of its lines differencing deleted, from all pages of its host."""
     out = []
     order = {}
     for key, url, page in rows:
         host, _, path = (url or "").removeprefix("http://").partition("/")
-        order.setdefault(host if url else None, []).append(("/" + path, key, url, page))
+        order.setdefault(host if url else None, []).append(("/" + path, key, url, parsed(page)))
     for host, own in order.items():
         own.sort(key=lambda x: (x[0], x[1]))
-        for k, (path, key, url, page) in enumerate(own):
-            found = p.lines(page or "")
-            if any(m for _, m in found):
-                out.append((key, url, "\n".join(x for x, m in found if m)))
-                continue
-            drop = []
-            sides = [own[j] for j in (k - 1, k + 1) if host and 0 <= j < len(own)]
-            for side in sorted(sides, key=lambda s: -p._near(s[0], path)):
-                same = p.common([x for x, _ in found], [x for x, _ in p.lines(side[3] or "")])
-                if len(same) * 5 < 4 * len(found):
-                    drop = same
+        for k, (path, key, url, found) in enumerate(own):
+            mine = [x for x, _ in found]
+            differs = lambda j: [x for x, _ in own[j][3]] != mine  # noqa: E731, B023
+            sides = [next((j for j in range(k - 1, -1, -1) if differs(j)), None), next((j for j in range(k + 1, len(own)) if differs(j)), None)]
+            sides = [j for j in sides if j is not None and host]
+            near = lambda j: len(os.path.commonprefix([own[j][0], path]))  # noqa: E731, B023
+            shared = set()
+            for j in sorted(sides, key=lambda j: (-near(j), abs(j - k) > 1)):  # noqa: B023
+                shared = longest(mine, [x for x, _ in own[j][3]])
+                if shared:
                     break
-            out.append((key, url, "\n".join(x for j, (x, _) in enumerate(found) if j not in set(drop))))
+            alone = not sides and any(m for _, m in found)
+            kept = [x for i, (x, m) in enumerate(found) if m or (i not in shared and not alone)]
+            out.append((key, url, "\n".join(kept), sum(i in shared and not m for i, (_, m) in enumerate(found))))
     return sorted(out, key=repr)
 
 
@@ -68,10 +111,13 @@ def test_main_text_equals_brute_force(spark, ranges):
     rows += [(200, "http://a.com/q", rows[1][2]), (201, "http://a.com/q", rows[1][2]), (202, None, "<p>no url"), (203, None, "<p>no url"), (204, "http://a.com/null", None), (205, "no scheme", "<p>q"), (206, "http://b.org/", "")]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, text int")
     got = p.main_text(docs, ranges=ranges).collect()
-    want = brute([r for r in rows if r[1] != "no scheme"]) + [(205, "no scheme", "q")]
-    assert sorted(((r.page_id, r.url, r.text) for r in got), key=repr) == sorted(want, key=repr)
+    want = brute([r for r in rows if r[1] != "no scheme"]) + [(205, "no scheme", "q", 0)]
+    assert sorted(((r.page_id, r.url, r.text, r.n_deleted) for r in got), key=repr) == sorted(want, key=repr)
     marked = {k for k in range(120) if k % 4 == 0}
     assert all("menu" not in r.text for r in got if r.page_id in marked)
+    # on most marked pages that have a neighbour it is the alignment that deletes
+    paired = [r for r in got if r.page_id in marked and "/c" not in r.url[:8]]
+    assert sum(r.n_deleted > 0 and r.n_ruled == 0 for r in paired) > len(paired) / 2
 
 
 def test_empty(spark):
