@@ -17,9 +17,10 @@ Rows: words are `[^\\x20\\x09-\\x0D]+`; null and empty texts have none and nothi
 below `window` words have no window. Repeated rows are each other's repeats. A null id is a value
 like any other. Other columns, whatever their names, are not read.
 
-Scale: each level counts by a partial aggregate before the shuffle and joins what is repeated back,
-so that a passage in a third of all rows is split by the skew join. Levels are tables in the shared
-folder. No group is gathered but the window starts of one row, bounded by that row's length.
+Scale: each level counts by a partial aggregate before the shuffle and joins what is repeated back; a
+passage in a third of all rows is told by a broadcast (see _repeated) and not shuffled by its hash.
+Levels are tables in the shared folder. No group is gathered but the window starts of one row, bounded
+by that row's length. Rows are told apart by 64 bits of hash of id and text.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import _text as t
 
-WINDOW = 35
+WINDOW, HOT = 35, 4096
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -155,9 +156,18 @@ def _level_3(window: int, text: str):
 
 
 def _repeated(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """The places of each row whose hashes occur twice or more, as one list per key."""
-    twice = rows.groupBy(*by).agg(F.sum("weight").alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(twice, by, "left_semi").groupBy("_key").agg(F.collect_set("pos").alias(name))
+    """The places of each row whose hashes occur twice or more, as one list per key.
+
+    Hashes that more than one in HOT of all rows have, HOT of them at most, are broadcast, so that their
+    rows stay where they are; the others are joined by shuffle, after most rows that are not repeated
+    have been sieved out.
+    """
+    twice = rows.groupBy(*by).agg(F.sum("weight").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 1").drop("_n")
+    twice = t.stored(twice, "repeated", small=True)
+    hot = (F.col("_rows") * HOT > F.lit(rows.count())).alias("_hot")
+    marked = t.sieve(rows, by[0], twice.select(by[0])).join(F.broadcast(twice.where(hot).select(*by, F.lit(True).alias("_hot"))), by, "left")
+    cold = marked.where("_hot is null").drop("_hot").join(twice.where(~hot), by, "left_semi")
+    return marked.where("_hot").drop("_hot").unionByName(cold).groupBy("_key").agg(F.collect_set("pos").alias(name))
 
 
 def _whole(batches):
