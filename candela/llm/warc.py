@@ -7,8 +7,10 @@ the others are revisits of it, which keep the HTTP header but not the payload.
 The reader walks an archive member by member, or record by record where it is not compressed. A
 record is taken if its member's check sum, version line, header, length and digest hold. After a
 failed check it searches for the next gzip member that inflates to a version line, or the next
-version line at the start of a line, whose record holds; what lies between is reported as a gap
-with its byte range and reason, and all later records are recovered.
+version line, whose record holds; what lies between is reported as a gap with its byte range and
+reason, and all later records are recovered. The search goes on inside a member of several records
+too; of a member that is cut short or whose check sum fails, as far as it inflates, a record is taken
+if its digest holds and another record follows it.
 
 Rows: a null payload is empty; null ids and urls are left out of the header and read back as null;
 line breaks in a url are percent-encoded. Rows that repeat the largest id of their payload are all
@@ -37,6 +39,8 @@ from . import _text as t
 REVISIT_BYTES, ARCHIVE_BYTES = 1000, 4 << 20
 VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
 MAGIC = b"\x1f\x8b\x08"
+#: Compressed bytes that are inflated at once.
+STEP = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -68,6 +72,8 @@ def write(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str
     rows = pages.select(F.col(id).alias("_id"), F.col(url).cast("string").alias("_url"), F.coalesce(F.col(payload), F.lit("")).alias("_body"))
     rows = rows.withColumn("_digest", F.when(F.octet_length("_body") >= revisit_bytes, F.sha1(F.col("_body").cast("binary"))))
     first = rows.where("_digest is not null").groupBy("_digest").agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    # short pages have a key of their own, so that they are not all dealt to one task
+    rows = rows.withColumn("_digest", F.coalesce("_digest", F.concat(F.lit("-"), F.xxhash64("_id", "_url", "_body").cast("string"))))
     dealt = rows.join(first, "_digest", "left").select("_id", "_url", "_body", F.when(F.col("_first").eqNullSafe(F.col("_id")), None).otherwise(F.col("_first")).alias("_to"))
 
     def run(batches):
@@ -126,31 +132,63 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     found = hashlib.sha1(body).hexdigest()
     if re.fullmatch("[0-9a-f]{40}", digest) and digest != found:
         raise Bad("digest differs")
-    return out | {"payload": body, "bytes": len(body), "digest": found}, after.end()
+    return out | {"payload": body, "bytes": len(body), "digest": found, "verified": digest == found}, after.end()
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    press = zlib.decompressobj(31)
-    try:
-        out = press.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Bad(f"member: {e}") from None
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the member at this offset inflates to, the offset after it, and what is wrong with it."""
+    press, out = zlib.decompressobj(31), []
+    view = memoryview(data)
+    spot = at
+    while spot < len(data) and not press.eof:
+        try:
+            out.append(press.decompress(view[spot : spot + STEP]))
+        except zlib.error as e:
+            return b"".join(out), spot, f"member: {e}"
+        spot += STEP
     if not press.eof:
-        raise Bad("member cut short")
-    return out, len(data) - len(press.unused_data)
+        return b"".join(out), len(data), "member cut short"
+    return b"".join(out), min(spot, len(data)) - len(press.unused_data), None
 
 
-def _unit(data: bytes, at: int) -> tuple[list[dict], int]:
-    """All records of the member, or the one plain record, at this offset."""
+def _inside(body: bytes, damaged: bool) -> Iterator[dict | str]:
+    """Records of an inflated member and reasons for what lies between. Of a damaged one a record is taken
+    if its digest holds and another one follows."""
+    at = 0
+    while at < len(body):
+        start, reason = at, None
+        try:
+            one, end = parse(body, at)
+        except Bad as e:
+            reason, one, end = str(e), None, len(body)
+            for m in VERSION.finditer(body, at + 1):
+                try:
+                    one, end = parse(body, m.start())
+                except Bad:
+                    continue
+                at = m.start()
+                break
+            yield f"{reason} (bytes {start} to {at if one else end} of the member)"
+            if one is None:
+                return
+        if damaged and not (one.get("verified") and VERSION.match(body, end)):
+            yield f"in a damaged member (bytes {at} to {end} of it)"
+        else:
+            yield one
+        at = end
+
+
+def _unit(data: bytes, at: int) -> tuple[list[dict | str], int, str | None]:
+    """All records of the member, or the one plain record, at this offset, the offset after it, and what is
+    wrong with the member."""
     if data[at : at + 3] != MAGIC:
         one, end = parse(data, at)
-        return [one], end
-    body, end = _inflate(data, at)
-    out, inner = [], 0
-    while inner < len(body):
-        one, inner = parse(body, inner)
-        out.append(one)
-    return out, end
+        return [one], end, None
+    body, end, reason = _inflate(data, at)
+    found = list(_inside(body, reason is not None))
+    if not any(isinstance(x, dict) for x in found):
+        raise Bad(reason or (found[0] if found else "empty member"))
+    return found, end, reason
 
 
 def _starts(data: bytes, at: int) -> Iterator[int]:
@@ -169,27 +207,30 @@ def _starts(data: bytes, at: int) -> Iterator[int]:
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
-    """(start, end, record) for each record that holds, and (start, end, reason) for each gap, in order."""
-    at = 0
+    """(start, end, record) for each record that holds, and (start, end, reason) for each gap, in order. In
+    a member of several records the range is the member's."""
+    at, ready = 0, None
     while at < len(data):
         try:
-            found, end = _unit(data, at)
+            found, end, reason = ready or _unit(data, at)
         except Bad as e:
-            reason = str(e)
-            for at_next in _starts(data, at + 1):
+            found, end, reason = [], at, str(e)
+        ready = None
+        after = end
+        if reason:  # the end is not known: the next member or version line that holds
+            after = len(data)
+            for spot in _starts(data, at + 1):
                 try:
-                    found, end = _unit(data, at_next)
+                    ready = _unit(data, spot)
                 except Bad:
                     continue
-                yield at, at_next, reason
-                at = at_next
+                after = spot
                 break
-            else:
-                yield at, len(data), reason
-                return
         for one in found:
-            yield at, end, one
-        at = end
+            yield at, after, one
+        if reason:
+            yield at, after, reason
+        at = after
 
 
 def read(archives: DataFrame) -> DataFrame:

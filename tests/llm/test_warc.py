@@ -55,6 +55,38 @@ def test_two_records_in_a_member():
     assert ids(w.salvage(data)) == [1, 2]
 
 
+def test_faults_inside_a_member():
+    parts = [w.record(k, f"http://x/{k}", f"page {k} ".encode() * 50) for k in range(5)]
+    whole = b"".join(parts)
+    after = w.member(w.record(9, None, b"next"))
+    bad = whole.replace(b"page 2 page 2", b"page 2 page X", 1)  # a digest that differs: the others come back
+    found = list(w.salvage(w.member(bad) + after))
+    assert ids(found) == [0, 1, 3, 4, 9] and sum("digest differs" in x for _, _, x in found if isinstance(x, str)) == 1
+    junk = b"".join([*parts[:2], b"junk without a record\r\n", *parts[2:]])
+    assert ids(w.salvage(w.member(junk) + after)) == [0, 1, 2, 3, 4, 9]
+    rough = random.Random(4)
+    big = [w.record(k, None, rough.randbytes(9000)) for k in range(40)]
+    packed = w.member(b"".join(big))
+    torn = list(w.salvage(packed[: len(packed) // 2] + after))  # torn in the middle: what was inflated whole comes back
+    assert ids(torn)[-1] == 9 and ids(torn)[:-1] == list(range(len(torn) - 3)) and 15 <= len(ids(torn)) <= 20
+    assert torn[-2][2].startswith("member") and torn[-2][1] == len(packed) // 2
+    assert ids(w.salvage(packed[: len(packed) // 2]))[0] == 0
+
+
+def test_short_pages_are_spread(spark):
+    """Nine tenths of the pages are short, and no task writes them all."""
+    pages = spark.range(4000).selectExpr("id as page_id", "concat('u', id) as url", "case when id % 10 = 0 then repeat(concat('x', id), 400) else concat('s', id) end as html")
+    conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = w.read(w.write(pages, archive_bytes=1 << 30)).groupBy("path").count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", conf)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in rows) == 4000 and max(r["count"] for r in rows) < 1600
+
+
 def test_round_trip(spark):
     long = "é" * 600
     rows = [(1, "http://a/ b\r\nWARC-Type: evil", "x", 1), (2, None, None, 1), (3, "u", "", 1), (4, "u", long, 1), (9, "u", long, 1), (7, "u", long, 1), (9, "u", long, 1), (None, "u", long, 1), (11, "u", "x", 1), (12, "u", "\x00" + "z" * 300_000, 1), (13, "u", "WARC/1.1\r\n\r\n" * 99, 1)]
