@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -68,3 +69,24 @@ def test_search_and_redact(spark, field):
 def test_without_examples(spark):
     field = p.fit(spark.createDataFrame([("nothing 1 here",), (None,)], "text string"))
     assert p.find("(317) 555-7713 and a@b.com", field) == ([("email", 19, 26)], [])
+
+
+def test_checked_patterns_equal_plain_searches():
+    """The spans of the patterns as the contract writes them, on random texts."""
+    import re
+
+    rng = random.Random(12)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "b@", "@", ".", "..", "-", "_", "%", "1", "12", "255", ".0", " ", "+", "é", "c.d", "@e.f"]) for _ in range(rng.randrange(1, 30)))
+        want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+        assert [s for s in p.base_spans(text) if s[0] in ("email", "ip")] == want, text
+
+
+def test_a_million_digits():
+    import time
+
+    began = time.time()
+    for text in ("1" * 1_000_000, "a" * 1_000_000 + "@", "a@" * 300_000, "1." * 300_000, "+1" + " (" * 300_000, "+1" * 300_000):
+        p.base_spans(text)
+    assert time.time() - began < 30
