@@ -24,6 +24,14 @@ def corpus():
     return rows + [(900, None), (901, ""), (902, " \n"), (903, "zzz " * 20000), (None, "un1 de1"), (3, rows[3][1])]
 
 
+def test_vocabulary_does_not_hang_on_the_size(spark, monkeypatch):
+    """A word seen `least` times is a word of its own whatever the number of all tokens."""
+    monkeypatch.setattr(b, "BOUND", 100, raising=False)
+    rows = [(1, "seldom seldom seldom"), (2, "often " * 2000)]
+    model, _ = b.fit(spark.createDataFrame(rows, "doc_id long, text string"), classes=8)
+    assert len(model.own) == 2
+
+
 @pytest.mark.parametrize("least", [1, 3, 60])
 def test_counts_and_base(spark, least):
     rows = corpus()
