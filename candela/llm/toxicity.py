@@ -13,8 +13,10 @@ leave the mean of all words unmoved. A logistic curve of this one number, fitted
 the models did not see and never falling, turns it into 0 to 1.
 
 Bounds: the models learn from at most `sample` labelled rows, those of least hash of their id, and
-hold all words and word pairs of these. This is the only bound; every whole text is scored. Labels
-are read for fitting only, and of a text nothing but its words is an input of its score.
+hold all words and word pairs of these (the driver gathers the counts of words and of pairs seen twice
+or more by a class, and of the other pairs, which add nothing of their own, a hash). This is the only
+bound; every whole text is scored. Labels are read for fitting only, and of a text nothing but its
+words is an input of its score.
 
 Rows: words are lower-cased `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. Null, empty and wordless texts get
 the score that the curve gives to a difference of zero. Labels that are null or whose id is
@@ -131,6 +133,13 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(kind[first].astype(np.int32)), pa.array(before[first].view(np.int64)), pa.array(h[first].view(np.int64)), pa.array(n)], ["toxic", "before", "word", "n"])
 
 
+def _keys(batches):
+    """The hash of each word pair."""
+    for batch in batches:
+        before, word = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(t.pair(before, word).view(np.int64))], ["pair"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", learn: Column | None = None, sample: int = SAMPLE) -> Model:
     """Learn from the labelled rows for which `learn`, a condition on the labels' columns, holds."""
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull() & (F.lit(True) if learn is None else learn))
@@ -138,18 +147,20 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     texts = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
     texts = texts.withColumn("fold", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(4)))
     by_class = [F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).cast("int").alias(f"c{k}") for k in (0, 1)]
-    found = t.map_arrow(texts.where("fold != 0").select("toxic", "text"), _count, "toxic int, before long, word long, n long").groupBy("before", "word").agg(*by_class).toArrow()  # pairs of the sample
-    count = [found.column(c).to_numpy() for c in ("c0", "c1")]
-    word, after = np.unique(found.column("word").to_numpy().view(np.uint64), return_inverse=True)
-    before = found.column("before").to_numpy().view(np.uint64)
-    del found
-    pa.default_memory_pool().release_unused()
-    n = len(word)
-    after = after.astype(np.int32)
-    inner = before != 0  # the first word of a text has no context, but counts as in one more company
+    pairs = t.stored(t.map_arrow(texts.where("fold != 0").select("toxic", "text"), _count, "toxic int, before long, word long, n long").groupBy("before", "word").agg(*by_class), "pairs")
+    # the driver gathers counts of words, and of those pairs that keep something after the discount
+    seen = [F.count(F.when(F.col(f"c{k}") > 0, 1)).cast("int").alias(f"c{k}") for k in (0, 1)]
+    single_counts = pairs.groupBy("word").agg(*seen, F.count(F.lit(1)).cast("int").alias("any")).toArrow()
+    word = single_counts.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    word, n = word[order], len(word)
+    after = [single_counts.column(c).to_numpy()[order] for c in ("c0", "c1", "any")]
+    inside = pairs.where("before != 0")  # the first word of a text has no context, but counts as in one more company
+    contexts = inside.groupBy("before").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).toArrow()
+    context = np.searchsorted(word, contexts.column("before").to_numpy().view(np.uint64))
+    found = inside.where("c0 > 1 or c1 > 1").toArrow()
+    before, last = (found.column(c).to_numpy().view(np.uint64) for c in ("before", "word"))
     behind = np.searchsorted(word, before).astype(np.int32)
-    behind[~inner] = n
-    del before
 
     def kept(c: np.ndarray) -> np.ndarray:
         return np.maximum(c - DISCOUNT[np.minimum(c, 3).astype(np.int64)], 0)
@@ -159,21 +170,23 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         own = np.append(kept(c), 0) / max(c.sum(), 1)
         return own + (1 - own.sum()) * shared
 
-    shared = lower(np.bincount(after, minlength=n), np.full(n + 1, 1 / (n + 1)))
+    shared = lower(after[2], np.full(n + 1, 1 / (n + 1)))
     single, back, given = [], [], []
-    for c in count:
-        single.append(lower(np.bincount(after, c > 0, minlength=n), shared))
-        total = np.bincount(behind, c, minlength=n + 1)
-        own = kept(c).astype(np.float32)
+    for k, c in enumerate(("c0", "c1")):
+        single.append(lower(after[k], shared))
+        total = np.zeros(n + 1)
+        total[context] = contexts.column(c).to_numpy()
+        own = kept(found.column(c).to_numpy()).astype(np.float32)
         used = np.bincount(behind, own, minlength=n + 1)
-        weight = np.where(total > 0, 1 - used / np.maximum(total, 1), 1.0)
-        weight[n] = 1.0
-        back.append(weight)
+        back.append(np.where(total > 0, 1 - used / np.maximum(total, 1), 1.0))
         own /= np.maximum(total, 1)[behind]
-        given.append(own[inner])
-    del own, count
-    keys = t.pair(word[behind[inner]], word[after[inner]])
-    del behind, after
+        given.append(own)
+    # a pair without mass of its own is a key alone
+    once = t.map_arrow(inside.where("c0 <= 1 and c1 <= 1").select("before", "word"), _keys, "pair long").toArrow().column("pair").to_numpy().view(np.uint64)
+    keys = np.concatenate((t.pair(before, last), once))
+    given = [np.concatenate((own, np.zeros(len(once), np.float32))) for own in given]
+    del found, before, last, behind, contexts, single_counts, once, own
+    pa.default_memory_pool().release_unused()
     order = np.argsort(keys)
     model = Model(word, single[1], single[0], keys[order], given[1][order], given[0][order], back[1], back[0])
     del keys, given, order

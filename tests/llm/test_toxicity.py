@@ -136,3 +136,20 @@ def test_score_equals_brute_force(spark):
         some = d[: max(1, math.ceil(len(d) / 50))]
         assert abs(got - (sum(some) / len(some) if some else 0)) < 1e-4
     assert m.weights[1] > 0 and (np.diff(m.score(np.linspace(-5, 5, 50))) >= 0).all()
+
+
+def test_driver_gathers_no_counts_of_pairs_seen_once(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in rng.integers(0, 300, 400)), k % 2) for k in range(20)], "doc_id long, text string, x int")
+    shapes, real = [], DataFrame.toArrow
+
+    def gathered(self):
+        out = real(self)
+        shapes.append((out.num_rows, out.num_columns))
+        return out
+
+    monkeypatch.setattr(DataFrame, "toArrow", gathered)
+    m = x.fit(docs, docs.selectExpr("doc_id", "x as toxic"))
+    assert len(m.pair) > 3000 and all(columns == 1 for rows, columns in shapes if rows > len(m.pair) / 2)
