@@ -17,10 +17,11 @@ Rows: words are `[^\\x20\\x09-\\x0D]+`; null and empty texts have none and nothi
 below `window` words have no window. Repeated rows are each other's repeats. A null id is a value
 like any other. Other columns, whatever their names, are not read.
 
-Scale: each level counts by a partial aggregate before the shuffle and joins what is repeated back; a
-passage in a third of all rows is told by a broadcast (see _repeated) and not shuffled by its hash.
-Levels are tables in the shared folder. No group is gathered but the window starts of one row, bounded
-by that row's length. Rows are told apart by 64 bits of hash of id and text.
+Scale: each level counts by a partial aggregate before the shuffle, and what is left of a hash that
+occurs once is its place (see _alone); the next pass over the texts takes these places out. So nothing is
+joined by a hash, and a passage in a third of all rows is one row of each task. No group is gathered but
+the window starts of one row, bounded by that row's length. Rows are told apart by 64 bits of hash of id
+and text.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import _text as t
 
-WINDOW, HOT = 35, 4096
+WINDOW = 35
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -73,101 +74,164 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _level_1(window: int, text: str):
+def _take(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def _placed(words: t.Words, starts: np.ndarray, batch: pa.RecordBatch, *hashes: pa.Array) -> pa.RecordBatch:
+    """Windows that start at these words: hashes, key and weight of the row, place in it."""
+    rows = np.searchsorted(words.at, starts, "right") - 1
+    keys, weight = (_take(batch, c).to_numpy(zero_copy_only=False)[rows] for c in ("_key", "weight"))
+    return pa.RecordBatch.from_arrays([*hashes, pa.array(keys), pa.array((starts - words.at[rows]).astype(np.int32)), pa.array(weight)], [*"hg"[: len(hashes)], "_key", "pos", "weight"])
+
+
+def _spots(words: t.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of short windows, and the words at which minimisers start."""
+    hs, _, _, anchor = _minimisers(words.hashes(), words.at, window)
+    return hs, np.flatnonzero(anchor & (hs != 0))
+
+
+def _level_1(window: int):
     def run(batches):
-        for batch in t.sliced(batches, text):
-            words = t.Words(batch.column(batch.schema.get_field_index(text)), t.SPACED, None)
-            if len(words.codes) < window:
-                continue
-            hs, _, _, anchor = _minimisers(words.hashes(), words.at, window)
-            spots = np.flatnonzero(anchor & (hs != 0))
-            rows = np.searchsorted(words.at, spots, "right") - 1
-            keys = batch.column(batch.schema.get_field_index("_key")).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([_signed(hs[spots]), pa.array(keys[rows]), pa.array((spots - words.at[rows]).astype(np.int32))], ["h", "_key", "pos"])
+        for batch in t.sliced(batches, "_text"):
+            words = t.Words(_take(batch, "_text"), t.SPACED, None)
+            if len(words.codes) >= window:
+                hs, spots = _spots(words, window)
+                yield _placed(words, spots, batch, _signed(hs[spots]))
 
     return run
 
 
-def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """The row and the value of each element of a list column."""
-    column = batch.column(batch.schema.get_field_index(name))
+def _starts(words: t.Words, batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """The words at the places of a list column."""
+    column = _take(batch, name)
     sizes = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    return np.repeat(np.arange(batch.num_rows), sizes), pa.compute.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(words.at[:-1], sizes) + pa.compute.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _level_2(window: int, text: str):
-    short = _level(window)
+def _listed(starts: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    """Ascending words as one list of places per row."""
+    offsets = np.searchsorted(starts, at).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((starts - np.repeat(at[:-1], np.diff(offsets))).astype(np.int32)))
+
+
+def _without(starts: np.ndarray, gone: np.ndarray, n: int) -> np.ndarray:
+    kept = np.ones(n + 1, bool)
+    kept[gone] = False
+    return starts[kept[starts]]
+
+
+def _anchored(window: int):
+    """Rows that have minimisers that occur twice or more, with these."""
 
     def run(batches):
-        for batch in t.sliced(batches, text):
-            words = t.Words(batch.column(batch.schema.get_field_index(text)), t.SPACED, None)
+        for batch in t.sliced(batches, "_text"):
+            words = t.Words(_take(batch, "_text"), t.SPACED, None)
             n = len(words.codes)
-            if n < 2 * short:
+            if n < window:
                 continue
-            rows, spots = _lists(batch, "anchors")
-            starts = np.unique(np.concatenate((words.at[rows] + spots, words.at[rows] + np.maximum(spots - short, 0))))
-            starts = starts[starts + 2 * short <= n]
-            starts = starts[_inside(words.at, n, 2 * short)[starts]]
-            hs = t.windows(words.hashes(), 2 * short)[starts]
-            rows = np.searchsorted(words.at, starts, "right") - 1
-            keys, weight = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_key", "weight"))
-            yield pa.RecordBatch.from_arrays([_signed(hs), pa.array(keys[rows]), pa.array((starts - words.at[rows]).astype(np.int32)), pa.array(weight[rows])], ["h", "_key", "pos", "weight"])
+            spots = _without(_spots(words, window)[1], _starts(words, batch, "alone"), n)
+            anchors = _listed(spots, words.at)
+            out = pa.RecordBatch.from_arrays([*(_take(batch, c) for c in ("_key", "_id", "_text", "weight")), anchors], ["_key", "_id", "_text", "weight", "anchors"])
+            yield out.filter(pa.array(np.diff(anchors.offsets.to_numpy()) > 0))
 
     return run
 
 
-def _level_3(window: int, text: str):
+def _doubles(words: t.Words, anchors: np.ndarray, short: int) -> np.ndarray:
+    """The words at which minimisers extended to the right or to the left start, inside one row."""
+    n = len(words.codes)
+    if n < 2 * short:
+        return np.zeros(0, np.int64)
+    first = words.at[np.searchsorted(words.at, anchors, "right") - 1]
+    starts = np.unique(np.concatenate((anchors, np.maximum(anchors - short, first))))
+    starts = starts[starts + 2 * short <= n]
+    return starts[_inside(words.at, n, 2 * short)[starts]]
+
+
+def _level_2(window: int):
     short = _level(window)
-    width = window - short + 1
 
     def run(batches):
-        for batch in t.sliced(batches, text):
-            words = t.Words(batch.column(batch.schema.get_field_index(text)), t.SPACED, None)
-            n = len(words.codes)
-            if n < window:
+        for batch in t.sliced(batches, "_text"):
+            words = t.Words(_take(batch, "_text"), t.SPACED, None)
+            starts = _doubles(words, _starts(words, batch, "anchors"), short)
+            if len(starts):
+                yield _placed(words, starts, batch, _signed(t.windows(words.hashes(), 2 * short)[starts]))
+
+    return run
+
+
+def _candidates(words: t.Words, batch: pa.RecordBatch, window: int, h: np.ndarray) -> np.ndarray:
+    """The full windows whose minimisers occur twice or more at both levels, by their first words."""
+    short, n = _level(window), len(words.codes)
+    hs, low, fine, _ = _minimisers(h, words.at, window)
+    anchors = _starts(words, batch, "anchors")
+    twice = np.zeros(n + 1, bool)
+    twice[_without(_doubles(words, anchors, short), _starts(words, batch, "single"), n)] = True
+    candidate = np.zeros(len(low), bool)
+    for back in range(window - short + 1):  # the anchor is word `back` of the full window
+        starts = anchors - back
+        keep = (starts >= 0) & (starts < len(low))
+        a, s = anchors[keep], starts[keep]
+        ok = fine[s] & (hs[a] == low[s])
+        if back + 2 * short <= window:
+            ok &= twice[a]
+        if back >= short:
+            ok &= twice[np.maximum(a - short, 0)]
+        candidate[s[ok]] = True
+    return np.flatnonzero(candidate)
+
+
+def _level_3(window: int):
+    def run(batches):
+        for batch in t.sliced(batches, "_text"):
+            words = t.Words(_take(batch, "_text"), t.SPACED, None)
+            if len(words.codes) < window:
                 continue
             h = words.hashes()
-            hs, low, fine, _ = _minimisers(h, words.at, window)
-            rows, spots = _lists(batch, "anchors")
-            good = words.at[rows] + spots < len(hs)
-            anchors = np.unique((words.at[rows] + spots)[good])
-            rows, spots = _lists(batch, "doubled")
-            twice = np.zeros(n + 1, bool)
-            twice[np.minimum(words.at[rows] + spots, n)] = True
-            candidate = np.zeros(len(low), bool)
-            for back in range(width):  # the anchor is word `back` of the full window
-                starts = anchors - back
-                keep = (starts >= 0) & (starts < len(low))
-                a, s = anchors[keep], starts[keep]
-                ok = fine[s] & (hs[a] == low[s])
-                if back + 2 * short <= window:
-                    ok &= twice[a]
-                if back >= short:
-                    ok &= twice[np.maximum(a - short, 0)]
-                candidate[s[ok]] = True
-            starts = np.flatnonzero(candidate)
-            rows = np.searchsorted(words.at, starts, "right") - 1
-            keys, weight = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_key", "weight"))
-            full = t.windows(h, window)[starts]
+            starts = _candidates(words, batch, window, h)
             more = t.windows(words.hashes(1), window)[starts].astype(np.uint32).view(np.int32)
-            yield pa.RecordBatch.from_arrays([_signed(full), pa.array(more), pa.array(keys[rows]), pa.array((starts - words.at[rows]).astype(np.int32)), pa.array(weight[rows])], ["h", "g", "_key", "pos", "weight"])
+            yield _placed(words, starts, batch, _signed(t.windows(h, window)[starts]), pa.array(more))
 
     return run
 
 
-def _repeated(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """The places of each row whose hashes occur twice or more, as one list per key.
+def _cut(window: int):
+    """What repeated windows leave of each text that has any."""
+
+    def run(batches):
+        for batch in t.sliced(batches, "_text"):
+            words = t.Words(_take(batch, "_text"), t.SPACED, None)
+            n = len(words.codes)
+            if n < window:
+                continue
+            starts = _without(_candidates(words, batch, window, words.hashes()), _starts(words, batch, "lone"), n)
+            depth = np.zeros(n + 1, np.int32)
+            depth[starts] += 1
+            np.subtract.at(depth, starts + window, 1)
+            covered = np.cumsum(depth)[:-1] > 0
+            rows = np.unique(np.searchsorted(words.at, starts, "right") - 1)
+            kept, spans, gone = [], [], []
+            for k, raw in zip(rows, _take(batch, "_text").take(pa.array(rows)).to_pylist()):
+                flags = covered[words.at[k] : words.at[k + 1]]
+                kept.append(b" ".join(np.array(raw.encode().split(), object)[~flags].tolist()).decode())
+                spans.append(np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))).astype(np.int32))
+                gone.append(int(flags.sum()))
+            same = [_take(batch, c).take(pa.array(rows)) for c in ("_key", "_id")]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(kept, pa.string())], ["_key", "_id", "n_removed", "spans", "kept"])
 
-    Hashes that more than one in HOT of all rows have, HOT of them at most, are broadcast, so that their
-    rows stay where they are; the others are joined by shuffle, after most rows that are not repeated
-    have been sieved out.
+    return run
+
+
+def _alone(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The places of each row whose hashes occur once only, as one list per key.
+
+    A hash that occurs once has one key and one place, so the count itself tells them, and no row has to
+    be joined with its count.
     """
-    twice = rows.groupBy(*by).agg(F.sum("weight").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 1").drop("_n")
-    twice = t.stored(twice, "repeated", small=True)
-    hot = (F.col("_rows") * HOT > F.lit(rows.count())).alias("_hot")
-    marked = t.sieve(rows, by[0], twice.select(by[0])).join(F.broadcast(twice.where(hot).select(*by, F.lit(True).alias("_hot"))), by, "left")
-    cold = marked.where("_hot is null").drop("_hot").join(twice.where(~hot), by, "left_semi")
-    return marked.where("_hot").drop("_hot").unionByName(cold).groupBy("_key").agg(F.collect_set("pos").alias(name))
+    once = rows.groupBy(*by).agg(F.sum("weight").alias("_n"), F.min("_key").alias("_key"), F.min("pos").alias("pos")).where("_n = 1")
+    return once.select("_key", "pos").repartition("_key").groupBy("_key").agg(F.collect_list("pos").alias(name))
 
 
 def _whole(batches):
@@ -200,46 +264,24 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
     Of rows with equal words only the one of least key goes through the levels, with a weight of two;
     the others are removed whole if they have a window. rows: of rows_of, where already at hand.
     """
-    short = _level(window)
-    if window < 3 or 2 * short > window:
+    if window < 3 or 2 * _level(window) > window:
         raise ValueError("a window has 3 words at least")
     rows = rows_of(docs, id, text) if rows is None else rows
     long = rows.where(F.col("n_words") >= window)
     twins = long.groupBy("_all").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_first")).where("_n > 1")
     twins = t.stored(long.join(twins, "_all").select("_key", "_id", "n_words", (F.col("_key") != F.col("_first")).alias("_copy")).distinct(), "twins")
 
-    keyed = _keyed(docs, id, text)
-    places = "h long, _key long, pos int"
-    ones = t.stored(t.map_arrow(keyed.select("_key", "_text"), _level_1(window, "_text"), places), "windows1")
-    anchors = _repeated(ones.withColumn("weight", F.lit(1)), ["h"], "anchors")
-    anchors = anchors.join(twins.select("_key", "_copy").distinct(), "_key", "left").where("_copy is null or not _copy").select("_key", "anchors", F.when(F.col("_copy").isNull(), 1).otherwise(2).alias("weight"))
-    held = t.stored(keyed.join(anchors, "_key"), "candidates")
-    twos = t.stored(t.map_arrow(held.select("_key", "_text", "anchors", "weight"), _level_2(window, "_text"), places + ", weight int"), "windows2")
-    doubled = _repeated(twos, ["h"], "doubled")
-    full = t.map_arrow(held.join(doubled, "_key").select("_key", "_text", "anchors", "weight", "doubled"), _level_3(window, "_text"), "h long, g int, _key long, pos int, weight int")
-    starts = _repeated(t.stored(full, "windows3"), ["h", "g"], "starts")
-
-    def cut(batches):
-        for batch in t.sliced(batches, "_text"):
-            texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
-            kept, spans, gone = [], [], []
-            for raw, begins in zip(texts, batch.column(batch.schema.get_field_index("starts"))):
-                words = np.array(raw.encode().split(), object)
-                depth = np.zeros(len(words) + 1, np.int32)
-                at = begins.values.to_numpy().astype(np.int64)
-                at = at[at + window <= len(words)]
-                depth[at] += 1
-                np.subtract.at(depth, at + window, 1)
-                flags = np.cumsum(depth)[:-1] > 0
-                kept.append(b" ".join(words[~flags].tolist()).decode())
-                spans.append(np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))).astype(np.int32))
-                gone.append(int(flags.sum()))
-            same = [batch.column(batch.schema.get_field_index(c)) for c in ("_key", "_id")]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(kept, pa.string())], ["_key", "_id", "n_removed", "spans", "kept"])
-
-    out = held.select("_key", "_id", "_text").dropDuplicates(["_key", "_id"]).join(starts, "_key")
-    kind = docs.schema[id].dataType.simpleString()
-    some = t.map_arrow(out, cut, f"_key long, _id {kind}, n_removed long, spans array<int>, kept string")
+    keyed, kind = _keyed(docs, id, text), docs.schema[id].dataType.simpleString()
+    places = "_key long, pos int, weight int"
+    ones = t.map_arrow(keyed.select("_key", "_text", F.lit(1).alias("weight")), _level_1(window), "h long, " + places)
+    first = keyed.join(_alone(ones, ["h"], "alone"), "_key", "left").join(twins.select("_key", "_copy").distinct(), "_key", "left").where("_copy is null or not _copy")
+    first = first.select("_key", "_id", "_text", "alone", F.when(F.col("_copy").isNull(), 1).otherwise(2).alias("weight"))
+    held = t.stored(t.map_arrow(first, _anchored(window), f"_key long, _id {kind}, _text string, weight int, anchors array<int>"), "candidates")
+    twos = t.map_arrow(held.select("_key", "_text", "anchors", "weight"), _level_2(window), "h long, " + places)
+    second = held.join(_alone(twos, ["h"], "single"), "_key", "left")
+    full = t.map_arrow(second, _level_3(window), "h long, g int, " + places)
+    third = second.join(_alone(full, ["h", "g"], "lone"), "_key", "left")
+    some = t.map_arrow(third, _cut(window), f"_key long, _id {kind}, n_removed long, spans array<int>, kept string").dropDuplicates(["_key", "_id"])
     whole = twins.where("_copy").select("_key", "_id", F.col("n_words").alias("n_removed"), F.array(F.lit(0), F.col("n_words").cast("int")).alias("spans"), F.lit("").alias("kept"))
     return some.unionByName(whole).withColumnRenamed("_id", id)
 

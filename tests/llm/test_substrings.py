@@ -46,3 +46,18 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert s.repeats(docs).count() == 0
     assert s.deduplicate(docs).count() == 0
+
+
+def test_large_groups_join_no_windows(spark):
+    """Near copies, exact copies and one row twice; no join has a row for each window."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    near = [" ".join([*base[: k % 200], f"own{k}", *base[k % 200 + 1 :]]) for k in range(300)]
+    texts = [*near, *[" ".join(base)] * 50, *[" ".join(f"v{rng.randrange(5000)}" for _ in range(80)) for _ in range(100)]]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    found = s.repeats(docs)
+    got = {r.doc_id: (r.n_removed, r.kept) for r in found.collect()}
+    assert found.count() == len(got)
+    assert got == {k: x for k, x in enumerate(brute([*texts, texts[0]], s.WINDOW)[:-1]) if x[0]}
+    joins = re.findall(r"Join \[[^\n]*", found._jdf.queryExecution().executedPlan().toString())
+    assert joins and not [x for x in joins if re.search(r"\bh#", x)]
