@@ -19,7 +19,8 @@ like any other. Other columns, whatever their names, are not read.
 
 Scale: each level counts by a partial aggregate before the shuffle, and what is left of a hash that
 occurs once is its place (see _alone); the next pass over the texts takes these places out. So nothing is
-joined by a hash, and a passage in a third of all rows is one row of each task. No group is gathered but
+joined by a hash, and a passage in a third of all rows is one row of each task; exact copies are told
+by the key of the one that stands for them. No group is gathered but
 the window starts of one row, bounded by that row's length. Rows are told apart by 64 bits of hash of id
 and text.
 """
@@ -268,21 +269,22 @@ def repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int
         raise ValueError("a window has 3 words at least")
     rows = rows_of(docs, id, text) if rows is None else rows
     long = rows.where(F.col("n_words") >= window)
-    twins = long.groupBy("_all").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_first")).where("_n > 1")
-    twins = t.stored(long.join(twins, "_all").select("_key", "_id", "n_words", (F.col("_key") != F.col("_first")).alias("_copy")).distinct(), "twins")
+    firsts = long.groupBy("_all").agg(F.min("_key").alias("_key"), F.when(F.count(F.lit(1)) > 1, 2).otherwise(1).alias("weight"))
+    firsts = t.stored(firsts.select("_key", "weight"), "firsts")
 
     keyed, kind = _keyed(docs, id, text), docs.schema[id].dataType.simpleString()
     places = "_key long, pos int, weight int"
-    ones = t.map_arrow(keyed.select("_key", "_text", F.lit(1).alias("weight")), _level_1(window), "h long, " + places)
-    first = keyed.join(_alone(ones, ["h"], "alone"), "_key", "left").join(twins.select("_key", "_copy").distinct(), "_key", "left").where("_copy is null or not _copy")
-    first = first.select("_key", "_id", "_text", "alone", F.when(F.col("_copy").isNull(), 1).otherwise(2).alias("weight"))
-    held = t.stored(t.map_arrow(first, _anchored(window), f"_key long, _id {kind}, _text string, weight int, anchors array<int>"), "candidates")
+    first = keyed.join(firsts, "_key").select("_key", "_id", "_text", "weight")
+    ones = t.map_arrow(first, _level_1(window), "h long, " + places)
+    alone = first.join(_alone(ones, ["h"], "alone"), "_key", "left")
+    held = t.stored(t.map_arrow(alone, _anchored(window), f"_key long, _id {kind}, _text string, weight int, anchors array<int>"), "candidates")
     twos = t.map_arrow(held.select("_key", "_text", "anchors", "weight"), _level_2(window), "h long, " + places)
     second = held.join(_alone(twos, ["h"], "single"), "_key", "left")
     full = t.map_arrow(second, _level_3(window), "h long, g int, " + places)
     third = second.join(_alone(full, ["h", "g"], "lone"), "_key", "left")
     some = t.map_arrow(third, _cut(window), f"_key long, _id {kind}, n_removed long, spans array<int>, kept string").dropDuplicates(["_key", "_id"])
-    whole = twins.where("_copy").select("_key", "_id", F.col("n_words").alias("n_removed"), F.array(F.lit(0), F.col("n_words").cast("int")).alias("spans"), F.lit("").alias("kept"))
+    copies = long.join(firsts, "_key", "left_anti").select("_key", "_id", "n_words").distinct()
+    whole = copies.select("_key", "_id", F.col("n_words").alias("n_removed"), F.array(F.lit(0), F.col("n_words").cast("int")).alias("spans"), F.lit("").alias("kept"))
     return some.unionByName(whole).withColumnRenamed("_id", id)
 
 

@@ -61,3 +61,19 @@ def test_large_groups_join_no_windows(spark):
     assert got == {k: x for k, x in enumerate(brute([*texts, texts[0]], s.WINDOW)[:-1]) if x[0]}
     joins = re.findall(r"Join \[[^\n]*", found._jdf.queryExecution().executedPlan().toString())
     assert joins and not [x for x in joins if re.search(r"\bh#", x)]
+
+
+def test_exact_copies_join_by_row_only(spark):
+    """A large group of exact copies: rows are told by their keys, not joined by the words they share."""
+    texts = ["one two " * 30] * 200 + ["own words " * 2] * 100 + [" ".join(f"u{k}" for k in range(50)), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = s.repeats(docs)
+    assert sorted((r.doc_id, r.n_removed, r.kept) for r in found.collect()) == [(k, 60, "") for k in range(200)]
+    made = []
+    stored = s.t.stored
+    s.t.stored = lambda df, *name, **small: made.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, *name, **small)
+    try:
+        made.append(s.repeats(docs)._jdf.queryExecution().executedPlan().toString())
+    finally:
+        s.t.stored = stored
+    assert not re.findall(r"Join \[_all#[^\n]*", "".join(made))
