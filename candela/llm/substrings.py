@@ -20,9 +20,8 @@ like any other. Other columns, whatever their names, are not read.
 Scale: each level counts by a partial aggregate before the shuffle, and what is left of a hash that
 occurs once is its place (see _alone); the next pass over the texts takes these places out. So nothing is
 joined by a hash, and a passage in a third of all rows is one row of each task; exact copies are told
-by the key of the one that stands for them. No group is gathered but
-the window starts of one row, bounded by that row's length. Rows are told apart by 64 bits of hash of id
-and text.
+by the key of the one that stands for them. No group is gathered but the window starts of one row,
+bounded by that row's length. Rows are told apart by 64 bits of hash of id and text.
 """
 
 from __future__ import annotations
